@@ -20,9 +20,9 @@ PARAGRAPH_END = r"(?i)</p\s*>|<p\b|</(?:article|body|div|footer|header|html|li|m
 
 
 def _reference_names() -> Column:
-    """Every named character reference, from the standard library's table."""
-    names = {k.rstrip(";"): v for k, v in html.entities.html5.items() if k.endswith(";")}
-    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    """Every named character reference, from the standard library's table: most need
+    their semicolon, the old ones do without."""
+    return F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string,string>")
 
 
 def _windows_page() -> str:
@@ -41,14 +41,14 @@ def _code_point(number: Column) -> Column:
 
 
 def _decoded(name: Column) -> Column:
-    decimal = F.regexp_extract(name, "^#([0-9]{1,9})$", 1)
-    hexadecimal = F.regexp_extract(name, "^#[xX]([0-9a-fA-F]{1,7})$", 1)
+    decimal = F.regexp_extract(name, "^#([0-9]{1,9});?$", 1)
+    hexadecimal = F.regexp_extract(name, "^#[xX]([0-9a-fA-F]{1,7});?$", 1)
     return (
-        F.when(name == "amp", "&")
-        .when(name == "nbsp", " ")
-        .when(name == "lt", "<")
-        .when(name == "gt", ">")
-        .when(name == "quot", '"')
+        F.when(name.isin("amp;", "amp"), "&")
+        .when(name.isin("nbsp;", "nbsp"), "\u00a0")
+        .when(name.isin("lt;", "lt"), "<")
+        .when(name.isin("gt;", "gt"), ">")
+        .when(name.isin("quot;", "quot"), '"')
         .when(decimal != "", _code_point(decimal.try_cast("bigint")))
         .when(hexadecimal != "", _code_point(F.conv(hexadecimal, 16, 10).try_cast("bigint")))
         .otherwise(F.element_at(_reference_names(), name))
@@ -61,8 +61,8 @@ def unescape(text: Column) -> Column:
     pieces = F.split(text, "(?=&)")
 
     def decode(piece: Column) -> Column:
-        name = F.regexp_extract(piece, "^&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);", 1)
-        rest = piece.substr(F.length(name) + 3, F.length(piece))
+        name = F.regexp_extract(piece, "^&((?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);?)", 1)
+        rest = piece.substr(F.length(name) + 2, F.length(piece))
         return F.when(name == "", piece).otherwise(
             F.coalesce(F.concat(_decoded(name), rest), piece)
         )

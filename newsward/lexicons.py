@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -269,5 +271,10 @@ def keyword_table(spark: SparkSession, keywords: dict[str, list[str]] | None = N
     return spark.sql(keyword_values(keywords))
 
 
+def constant(value: list | dict, type_name: str) -> Column:
+    """A Python value as one literal; Spark folds the parsing away before it runs."""
+    return F.from_json(F.lit(json.dumps(value)), type_name)
+
+
 def text_array(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return constant(values, "array<string>")

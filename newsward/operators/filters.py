@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsward.functions import reply as R
+from newsward.functions.once import compute_once
 
 
 def is_pdf(link: Column, content_type: Column | None = None) -> Column:
@@ -48,7 +49,7 @@ def has_keys(json_text: Column, keys: list[str]) -> Column:
 
 def esg_replies(replies: DataFrame, mode: str = "web") -> DataFrame:
     """Keep the rows whose ``reply`` text names an ESG category."""
-    parsed = replies.withColumn("parsed", R.parse_reply(F.col("reply")))
+    parsed = compute_once(replies, "parsed", R.parse_reply(F.col("reply")))
     return parsed.where(R.esg_gate(F.col("parsed"), mode)).drop("parsed")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsward.functions import reply as R
+from newsward.functions.once import compute_once
 from newsward.functions.text import published_date
 
 # The twelve columns of the fact table, in order.
@@ -30,7 +31,7 @@ def to_records(
     the news API. ``keep`` names further columns to carry along.
     """
     mode = PROVIDERS[provider]
-    parsed = articles.withColumn("parsed", R.parse_reply(F.col("reply")))
+    parsed = compute_once(articles, "parsed", R.parse_reply(F.col("reply")))
     passed = parsed.where(R.esg_gate(F.col("parsed"), mode))
     reply = F.col("parsed")
     published = R.field_text(reply, "date") if mode == "web" else F.col("published_at")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsward import lexicons
+from newsward.functions.once import compute_once
 from newsward.functions.text import fold, published_date, sentences, words
 
 DICTIONARY_LIMIT = 5000
@@ -46,13 +47,7 @@ def term_hits(word_list: Column, terms: Iterable[str]) -> Column:
         by_first.setdefault(parts[0], []).append(parts)
     if not by_first:
         return F.array().cast("array<struct<at:int,term:string>>")
-    table = F.create_map(
-        *[
-            item
-            for first, many in by_first.items()
-            for item in (F.lit(first), F.array(*[lexicons.text_array(p) for p in many]))
-        ]
-    )
+    table = lexicons.constant(by_first, "map<string,array<array<string>>>")
     firsts = list(by_first)
     marked = F.transform(word_list, lambda w, i: F.when(w.isin(firsts), i).otherwise(-1))
     starts = F.filter(marked, lambda i: i >= 0)
@@ -152,7 +147,7 @@ def first_country(hits: Column, names: dict[str, str]) -> Column:
         return F.lit("")
     ranked = F.transform(hits, lambda h: F.struct(h["at"], -F.length(h["term"]), h["term"].alias("term")))
     term = F.array_min(ranked)["term"]
-    spelling = F.create_map(*[F.lit(v) for pair in sorted(names.items()) for v in pair])
+    spelling = lexicons.constant(names, "map<string,string>")
     return F.coalesce(F.element_at(spelling, term), F.lit(""))
 
 
@@ -182,7 +177,7 @@ def tag_articles(
 
     keys = [c for c in articles.columns if c != "text"]
     spelled = articles.withColumn("word_list", words(F.col("text")))
-    hit = spelled.select(*keys, "text", term_hits(F.col("word_list"), dictionary).alias("hits"))
+    hit = compute_once(spelled, "hits", term_hits(F.col("word_list"), dictionary))
     found = hit.select("*", found_terms(F.col("hits")).alias("found"))
     is_country = lexicons.text_array(sorted(country_names) or [""])
     has_incident = F.arrays_overlap("found", lexicons.text_array(incident_terms))
@@ -218,7 +213,7 @@ def rule_replies(tags: DataFrame) -> DataFrame:
     none = F.to_json(F.struct(F.lit("No").alias("esg_check")))
     keys = [c for c in tags.columns if c not in TAGS]
     reply = F.when(F.col("esg_check") == "No", none).otherwise(F.to_json(full))
-    return tags.select(*keys, reply.alias("reply"))
+    return compute_once(tags, "reply", reply).select(*keys, "reply")
 
 
 def classify(articles: DataFrame, classifier: Callable[[list[str]], list[str]]) -> DataFrame:

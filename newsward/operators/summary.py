@@ -60,31 +60,35 @@ def sentence_vectors(split: DataFrame, vectors: DataFrame, dim: int) -> DataFram
     return added.select("doc_id", "pos", "n_words", F.array(*values).alias("vector"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x * y)
-    return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
+def dot(a: Column, b: Column, dim: int) -> Column:
+    """The inner product, spelled out so that it runs as generated code."""
+    total = a[0] * b[0]
+    for k in range(1, dim):
+        total = total + a[k] * b[k]
+    return total
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """The cosine of two vectors; 0 if either is all zeros."""
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
-
-
-def unit(vector: Column) -> Column:
-    norm = F.sqrt(dot(vector, vector))
-    return F.transform(vector, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+def cosine(a: Column, b: Column, dim: int) -> Column:
+    """The similarity of two sentence vectors; 0 if either is all zeros."""
+    norms = F.sqrt(dot(a, a, dim)) * F.sqrt(dot(b, b, dim))
+    return F.when(norms > 0, dot(a, b, dim) / norms).otherwise(0.0)
 
 
 def similarity_weight(vectors: DataFrame, dim: int) -> DataFrame:
     """(doc_id, pos, weight): the summed similarity to all other sentences of the document."""
-    units = vectors.select("doc_id", "pos", unit(F.col("vector")).alias("u"))
-    sums = [F.sum(F.col("u")[k]).alias(f"s{k}") for k in range(dim)]
-    totals = units.groupBy("doc_id").agg(*sums).select(
+    vector = F.col("vector")
+    sized = vectors.select("doc_id", "pos", "vector", F.sqrt(dot(vector, vector, dim)).alias("norm"))
+    filled = sized.where(F.col("norm") > 0)
+    sums = [F.sum(vector[k] / F.col("norm")).alias(f"s{k}") for k in range(dim)]
+    totals = filled.groupBy("doc_id").agg(*sums).select(
         "doc_id", F.array(*[F.col(f"s{k}") for k in range(dim)]).alias("total")
     )
-    weight = dot(F.col("u"), F.col("total")) - dot(F.col("u"), F.col("u"))
-    return units.join(totals, "doc_id").select("doc_id", "pos", weight.alias("weight"))
+    joined = sized.join(totals, "doc_id", "left")
+    # A unit vector's product with itself is 1.
+    weight = dot(vector, F.col("total"), dim) / F.col("norm") - 1.0
+    return joined.select(
+        "doc_id", "pos", F.when(F.col("norm") > 0, weight).otherwise(0.0).alias("weight")
+    )
 
 
 def rank_scores(vectors: np.ndarray) -> np.ndarray:
