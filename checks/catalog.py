@@ -701,7 +701,7 @@ def sentence_vectors(spark, sf_dir):
         "doc_id", "pos", "n_words",
         (F.round(v[0], 6) + 0.0).alias("first_x"),
         (F.round(total, 5) + 0.0).alias("sum_x"),
-        F.round(summary.dot(v, v, DIM), 5).alias("norm"),
+        F.round(summary.dot("vector", "vector", DIM), 5).alias("norm"),
     )
 
 

@@ -143,9 +143,16 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
+READ: dict[tuple[str, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
-    return spread(df) if table in TEXT_TABLES else df
+    """A driver table; its schema is looked up once per session."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir.rstrip('/')}/{table}.parquet")
+    if key not in READ:
+        df = spark.read.parquet(key[1])
+        READ[key] = spread(df) if table in TEXT_TABLES else df
+    return READ[key]
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

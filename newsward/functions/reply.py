@@ -101,14 +101,7 @@ def json_dumps(value: Column, ascii: bool = True) -> Column:
 
 def field_json(reply: Column, name: str, ascii: bool = True) -> Column:
     """A field as JSON text; an absent field is the empty string, a null one ``null``."""
-    kind = field_type(reply, name)
-    text = F.try_variant_get(reply, f"$.{name}", "string")
-    return (
-        F.when(kind.isNull(), '""')
-        .when(kind == "VOID", "null")
-        .when(kind == "STRING", json_string(text, ascii))
-        .otherwise(json_dumps(field(reply, name), ascii))
-    )
+    return F.coalesce(json_dumps(field(reply, name), ascii), F.lit('""'))
 
 
 def field_text(reply: Column, name: str) -> Column:

@@ -53,22 +53,18 @@ def sentence_vectors(split: DataFrame, vectors: DataFrame, dim: int) -> DataFram
         "doc_id", "pos", F.explode_outer(clean_words(F.col("sentence"))).alias("word")
     )
     joined = spelled.join(vectors.select("word", "embedding"), "word", "left")
-    sums = [F.sum(F.col("embedding")[k].cast("double")).alias(f"v{k}") for k in range(dim)]
+    sums = [F.expr(f"sum(CAST(embedding[{k}] AS DOUBLE)) AS v{k}") for k in range(dim)]
     added = joined.groupBy("doc_id", "pos").agg(F.count("word").alias("n_words"), *sums)
-    scale = F.col("n_words") + F.lit(0.001)
-    values = [F.coalesce(F.col(f"v{k}"), F.lit(0.0)) / scale for k in range(dim)]
-    return added.select("doc_id", "pos", "n_words", F.array(*values).alias("vector"))
+    values = ", ".join(f"coalesce(v{k}, 0D) / (n_words + 0.001D)" for k in range(dim))
+    return added.select("doc_id", "pos", "n_words", F.expr(f"array({values}) AS vector"))
 
 
-def dot(a: Column, b: Column, dim: int) -> Column:
-    """The inner product, spelled out so that it runs as generated code."""
-    total = a[0] * b[0]
-    for k in range(1, dim):
-        total = total + a[k] * b[k]
-    return total
+def dot(a: str, b: str, dim: int) -> Column:
+    """The inner product of two array columns, spelled out to run as generated code."""
+    return F.expr(" + ".join(f"{a}[{k}] * {b}[{k}]" for k in range(dim)))
 
 
-def cosine(a: Column, b: Column, dim: int) -> Column:
+def cosine(a: str, b: str, dim: int) -> Column:
     """The similarity of two sentence vectors; 0 if either is all zeros."""
     norms = F.sqrt(dot(a, a, dim)) * F.sqrt(dot(b, b, dim))
     return F.when(norms > 0, dot(a, b, dim) / norms).otherwise(0.0)
@@ -76,16 +72,14 @@ def cosine(a: Column, b: Column, dim: int) -> Column:
 
 def similarity_weight(vectors: DataFrame, dim: int) -> DataFrame:
     """(doc_id, pos, weight): the summed similarity to all other sentences of the document."""
-    vector = F.col("vector")
-    sized = vectors.select("doc_id", "pos", "vector", F.sqrt(dot(vector, vector, dim)).alias("norm"))
-    filled = sized.where(F.col("norm") > 0)
-    sums = [F.sum(vector[k] / F.col("norm")).alias(f"s{k}") for k in range(dim)]
-    totals = filled.groupBy("doc_id").agg(*sums).select(
-        "doc_id", F.array(*[F.col(f"s{k}") for k in range(dim)]).alias("total")
-    )
-    joined = sized.join(totals, "doc_id", "left")
+    norm = F.sqrt(dot("vector", "vector", dim))
+    sized = vectors.select("doc_id", "pos", "vector", norm.alias("norm"))
+    sums = [F.expr(f"sum(vector[{k}] / norm) AS s{k}") for k in range(dim)]
+    totals = sized.where("norm > 0").groupBy("doc_id").agg(*sums)
+    total = F.array(*[f"s{k}" for k in range(dim)])
+    joined = sized.join(totals.select("doc_id", total.alias("total")), "doc_id", "left")
     # A unit vector's product with itself is 1.
-    weight = dot(vector, F.col("total"), dim) / F.col("norm") - 1.0
+    weight = dot("vector", "total", dim) / F.col("norm") - 1.0
     return joined.select(
         "doc_id", "pos", F.when(F.col("norm") > 0, weight).otherwise(0.0).alias("weight")
     )

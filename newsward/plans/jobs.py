@@ -1,6 +1,6 @@
 """The monitoring jobs: requests in, fact rows and one status per request out.
 
-A job returns lazy DataFrames. ``save`` loads the records into a datamart.
+A job returns its records and statuses as DataFrames; ``run`` loads a datamart.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from newsward.operators.outcomes import coalesce_status
 from newsward.operators.records import to_records
 from newsward.operators.rules import rule_replies, tag_articles
 from newsward.operators.skew import skew_join
+from newsward.session import stage
 from newsward.sources.mart import JdbcMart, ParquetMart, load_datamart
 from newsward.sources.news import flatten_news
 
@@ -50,7 +51,7 @@ class InvalidRequests(ValueError):
 
 @dataclass
 class JobResult:
-    """Lazy records and statuses of a job.
+    """Records and statuses of a job.
 
     ``run`` loads the records and takes the statuses from the loaded rows, so that
     articles are extracted and classified once for both.
@@ -139,19 +140,21 @@ def _web_job(
     keep: list,
     proc_ts: Column | None,
 ) -> JobResult:
-    """The cap comes first, so at most nine narrow rows per request go on. Text is
+    """The cap comes first, so at most nine narrow rows per request go on. These are
+    staged, as the text, the join and the statuses all start from them. Text is
     extracted and classified once per distinct link; pages never meet the requests."""
     checked = flag_known(requests, companies)
     columns = [c for c in ("request_id", "pos", "link", "content_type") if c in links.columns]
     capped = cap_links(links.select(*columns))
-    opened = drop_pdf(_accepted(checked, refusals).join(capped, "request_id"))
+    found = stage(_accepted(checked, refusals).join(capped, "request_id"))
+    opened = drop_pdf(found)
     answered = skew_join(
-        opened.drop("content_type"),
+        opened.select("request_id", "pos", "company_id", "search_query", "link"),
         classifier(article_text(opened, pages)).select("link", "reply"),
         "link", "inner", ["request_id", "pos"],
     )
     records = to_records(answered, "News", proc_ts, keep=("request_id", "pos"))
-    return JobResult(records, _status_rule(checked, capped, refusals, texts, keep), bridges=True)
+    return JobResult(records, _status_rule(checked, found, refusals, texts, keep), bridges=True)
 
 
 KEPT = ["request_id", "company_id", "company_name", "search_query"]
