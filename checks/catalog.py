@@ -14,6 +14,7 @@ from newsward.functions import html as H
 from newsward.functions import messages as M
 from newsward.functions import reply as R
 from newsward.functions import text as T
+from newsward.functions.once import compute_once
 from newsward.operators import companies as C
 from newsward.operators import datamart as D
 from newsward.operators import filters as P
@@ -23,7 +24,7 @@ from newsward.operators import records as X
 from newsward.operators import rules, summary
 from newsward.operators.ids import with_ids
 from newsward.plans import jobs
-from newsward.session import scratch_path
+from newsward.session import scratch_path, spread
 from newsward.sources import exports, news, pages, requests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,9 +104,8 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(article(0), article(1)).alias("articles"),
     )
     text = flat.select("doc_id", "request_id", F.to_json(envelope).alias("response"))
-    return text.select(
-        "doc_id", "request_id", news.parse_envelope(F.col("response")).alias("parsed")
-    ).select("doc_id", "request_id", "parsed.*")
+    parsed = compute_once(text, "parsed", news.parse_envelope(F.col("response")))
+    return parsed.select("doc_id", "request_id", "parsed.*")
 
 
 NEWS_ARTICLES = f"""
@@ -164,7 +164,7 @@ FROM (SELECT page_id, regexp_extract_all(html, '<td>(.*?)</td>', 1) AS cells FRO
 UNION ALL
 SELECT page_id, 0, 1, 'short', NULL, NULL, NULL, NULL, NULL FROM {sql_of('tables')} AS t WHERE contains(html, 'short')""")
 def report_table_rows(spark, sf_dir):
-    return pages.extract_table_rows(fixture(spark, sf_dir, "tables"))
+    return pages.extract_table_rows(spread(fixture(spark, sf_dir, "tables")))
 
 
 @check("company_dimension", """
@@ -649,7 +649,7 @@ def vocabulary_sql(words: str, engine: str) -> str:
 
 
 def split_documents(spark, sf_dir):
-    return summary.split_sentences(read_table(spark, sf_dir, "documents"))
+    return summary.split_sentences(summary.by_document(read_table(spark, sf_dir, "documents")))
 
 
 def vectors(spark, sf_dir):

@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The white space of Unicode text, some of which Java's \s leaves out.
-WS = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+OTHER_WS = r"\t-\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WS = f"[ {OTHER_WS}]"
+# A run that is not a single blank already: most blanks of a text need no change.
+WS_RUN = f" *[{OTHER_WS}]{WS}*| {{2,}}"
 # Fixed value: a URL up to the first character outside the class; `$-_` is a range.
 URL = r"https?://[a-zA-Z0-9$-_@.&+!*\\(),]+"
 
@@ -22,7 +25,7 @@ def strip_ws(text: Column) -> Column:
 
 def collapse_ws(text: Column) -> Column:
     """Make each run of white space one blank, and drop it at both ends."""
-    return F.trim(F.regexp_replace(text, WS + "+", " "))
+    return F.trim(F.regexp_replace(text, WS_RUN, " "))
 
 
 def clean_text(text: Column) -> Column:
@@ -83,5 +86,5 @@ def words(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Cut after ``.``, ``!`` or ``?`` followed by white space; empty parts are dropped."""
-    parts = F.split(text, rf"(?<=[.!?]){WS}+")
-    return F.filter(F.transform(parts, strip_ws), lambda s: s != "")
+    parts = F.split(strip_ws(text), rf"(?<=[.!?]){WS}+")
+    return F.filter(parts, lambda s: s != "")

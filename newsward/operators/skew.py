@@ -1,4 +1,4 @@
-"""A join that spreads keys held by very many rows over several tasks."""
+"""Joins for uneven sizes: hot keys are spread, small sides broadcast after a check."""
 
 from __future__ import annotations
 
@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 MAX_HOT_KEYS = 1000
 
 
+# What a broadcast side may take in memory, as counted by its rows.
+BROADCAST_BYTES = 256 * 1024 * 1024
+
+
+def checked_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
+    """Mark ``df`` for broadcast if its rows fit ``BROADCAST_BYTES``, else leave it to
+    a shuffled join. Counting stops just past the bound."""
+    most = BROADCAST_BYTES // row_bytes
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def hot_keys(df: DataFrame, key: str, min_rows: int) -> DataFrame:
     """The keys of ``df`` with at least ``min_rows`` rows, most frequent first."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("key_rows"))

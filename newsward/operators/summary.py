@@ -9,20 +9,26 @@ its n x n matrix exactly and the work grows with n.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsward.functions.text import sentences
 from newsward.lexicons import STOP_WORDS
+from newsward.operators.skew import checked_broadcast
 
-# The usual settings of the ranking.
+# The usual damping of the ranking, and the length of a summary.
 DAMPING = 0.85
-TOLERANCE = 1e-6
-MAX_ROUNDS = 100
 SUMMARY_SENTENCES = 5
 
 
+def by_document(documents: DataFrame) -> DataFrame:
+    """Hash the texts by document once. All that follows is grouped by document, with
+    or without a position, and finds its rows in place; texts are much smaller than
+    the vectors that would be shuffled later."""
+    return documents.select("doc_id", "text").repartition("doc_id")
+
+
 def split_sentences(documents: DataFrame) -> DataFrame:
     """(doc_id, pos, sentence) in text order."""
     return documents.select(
@@ -30,10 +36,17 @@ def split_sentences(documents: DataFrame) -> DataFrame:
     )
 
 
+# All that is not a plain letter separates words.
+BETWEEN_WORDS = "[^a-zA-Z]+"
+
+
+def _dropped(stop_words: list[str] | None) -> list[str]:
+    return ["", *(STOP_WORDS if stop_words is None else stop_words)]
+
+
 def clean_words(sentence: Column, stop_words: list[str] | None = None) -> Column:
-    letters = F.lower(F.regexp_replace(sentence, "[^a-zA-Z]+", " "))
-    stop = STOP_WORDS if stop_words is None else stop_words
-    return F.filter(F.split(letters, " "), lambda w: (w != "") & ~w.isin(stop))
+    lower = F.transform(F.split(sentence, BETWEEN_WORDS), F.lower)
+    return F.filter(lower, lambda w: ~w.isin(_dropped(stop_words)))
 
 
 def clean_sentence(sentence: Column, stop_words: list[str] | None = None) -> Column:
@@ -45,14 +58,16 @@ def sentence_vectors(split: DataFrame, vectors: DataFrame, dim: int) -> DataFram
     """(doc_id, pos, n_words, vector): word vectors summed over n_words + 0.001.
 
     ``vectors`` is (word, embedding). An unknown word adds nothing, an empty sentence
-    has a vector of zeros. The dictionary is broadcast only if it is small by its
-    statistics. Each dimension is an aggregate of its own, so sums are combined
-    before the shuffle and no row per dimension arises.
+    has a vector of zeros. The dictionary is broadcast if its counted size allows it,
+    else joined by a shuffle. Each dimension is an aggregate of its own, so sums are
+    combined before any shuffle and no row per dimension arises.
     """
-    spelled = split.select(
-        "doc_id", "pos", F.explode_outer(clean_words(F.col("sentence"))).alias("word")
-    )
-    joined = spelled.join(vectors.select("word", "embedding"), "word", "left")
+    apart = split.select("doc_id", "pos", F.explode(F.split("sentence", BETWEEN_WORDS)).alias("raw"))
+    # A dropped word stays as a null: it neither counts nor matches, but its sentence stays.
+    word = F.lower("raw")
+    spelled = apart.select("doc_id", "pos", F.when(~word.isin(_dropped(None)), word).alias("word"))
+    dictionary = checked_broadcast(vectors.select("word", "embedding"), row_bytes=4 * dim + 100)
+    joined = spelled.join(dictionary, "word", "left")
     sums = [F.expr(f"sum(CAST(embedding[{k}] AS DOUBLE)) AS v{k}") for k in range(dim)]
     added = joined.groupBy("doc_id", "pos").agg(F.count("word").alias("n_words"), *sums)
     values = ", ".join(f"coalesce(v{k}, 0D) / (n_words + 0.001D)" for k in range(dim))
@@ -74,52 +89,55 @@ def similarity_weight(vectors: DataFrame, dim: int) -> DataFrame:
     """(doc_id, pos, weight): the summed similarity to all other sentences of the document."""
     norm = F.sqrt(dot("vector", "vector", dim))
     sized = vectors.select("doc_id", "pos", "vector", norm.alias("norm"))
-    sums = [F.expr(f"sum(vector[{k}] / norm) AS s{k}") for k in range(dim)]
-    totals = sized.where("norm > 0").groupBy("doc_id").agg(*sums)
-    total = F.array(*[f"s{k}" for k in range(dim)])
-    joined = sized.join(totals.select("doc_id", total.alias("total")), "doc_id", "left")
+    document = Window.partitionBy("doc_id")
+    totals = [
+        F.sum(F.expr(f"IF(norm > 0, vector[{k}] / norm, 0D)")).over(document).alias(f"t{k}")
+        for k in range(dim)
+    ]
+    joined = sized.select("*", *totals)
+    inner = F.expr(" + ".join(f"vector[{k}] * t{k}" for k in range(dim)))
     # A unit vector's product with itself is 1.
-    weight = dot("vector", "total", dim) / F.col("norm") - 1.0
-    return joined.select(
-        "doc_id", "pos", F.when(F.col("norm") > 0, weight).otherwise(0.0).alias("weight")
-    )
+    weight = F.when(F.col("norm") > 0, inner / F.col("norm") - 1.0).otherwise(0.0)
+    return joined.select("doc_id", "pos", weight.alias("weight"))
 
 
 def rank_scores(vectors: np.ndarray) -> np.ndarray:
-    """Weighted PageRank over the similarities of one document's sentences."""
+    """Weighted PageRank over the similarities of one document's sentences.
+
+    With unit vectors u, weights w and scores x = w * y, the stationary scores obey
+    (w + d) y = d u.z + c with z = sum of y u, so one small system in the vector
+    dimension gives z and with it all scores: what the usual rounds converge to, in
+    time linear in the number of sentences. A sentence without similarity to any
+    other shares its score evenly.
+    """
     n = len(vectors)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     u = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
-    own = (u * u).sum(axis=1)
-    weight = u @ u.sum(axis=0) - own
-    weight[np.abs(weight) < 1e-12] = 0.0
-    dangling = weight == 0
-    share = np.divide(1.0, weight, out=np.zeros(n), where=~dangling)
-    x = np.full(n, 1.0 / n)
-    for _ in range(MAX_ROUNDS):
-        y = x * share
-        spread = u @ (u.T @ y) - own * y
-        following = DAMPING * (spread + x[dangling].sum() / n) + (1 - DAMPING) / n
-        change = np.abs(following - x).sum()
-        x = following
-        if change < n * TOLERANCE:
-            break
-    return x
+    weight = u @ u.sum(axis=0) - (norms[:, 0] > 0)
+    linked = np.abs(weight) > 1e-9
+    constant = (1 - DAMPING) / (n - DAMPING * np.count_nonzero(~linked))
+    scores = np.full(n, constant)
+    if linked.any():
+        v, w = u[linked], weight[linked]
+        scaled = v / (w + DAMPING)[:, None]
+        system = np.eye(v.shape[1]) - DAMPING * (v.T @ scaled)
+        z = np.linalg.solve(system, constant * scaled.sum(axis=0))
+        scores[linked] = w * (DAMPING * (v @ z) + constant) / (w + DAMPING)
+    return scores
 
 
 def sentence_rank(vectors: DataFrame) -> DataFrame:
     """(doc_id, pos, score). One group is the sentences of one document, whose text
     was one cell of one row before; the ranking is linear in their number."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        matrix = np.vstack(group["vector"].to_list()).astype(float)
-        return pd.DataFrame(
-            {"doc_id": group["doc_id"], "pos": group["pos"], "score": rank_scores(matrix)}
-        )
+    def run(group: pa.Table) -> pa.Table:
+        flat = group.column("vector").combine_chunks().flatten().to_numpy()
+        matrix = flat.reshape(group.num_rows, -1).astype(float)
+        return group.select(["doc_id", "pos"]).append_column("score", pa.array(rank_scores(matrix)))
 
     key = vectors.schema["doc_id"].dataType.simpleString()
     grouped = vectors.select("doc_id", "pos", "vector").groupBy("doc_id")
-    return grouped.applyInPandas(run, f"doc_id {key}, pos int, score double")
+    return grouped.applyInArrow(run, f"doc_id {key}, pos int, score double")
 
 
 def top_sentences(ranked: DataFrame, k: int = SUMMARY_SENTENCES) -> DataFrame:
@@ -138,6 +156,6 @@ def summaries(split: DataFrame, scores: DataFrame, k: int = SUMMARY_SENTENCES) -
 
 def summarize(documents: DataFrame, vectors: DataFrame, dim: int, k: int = SUMMARY_SENTENCES) -> DataFrame:
     """(doc_id, summary) from whole texts."""
-    split = split_sentences(documents)
+    split = split_sentences(by_document(documents))
     scores = sentence_rank(sentence_vectors(split, vectors, dim))
     return summaries(split, scores, k)
