@@ -16,6 +16,12 @@ from checks import catalog
 from checks.fixtures import TABLES
 
 
+TYPE_NAMES = {
+    "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+    "date": "DATE", "boolean": "BOOLEAN",
+}
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
     for table in TABLES:
@@ -46,6 +52,10 @@ def compare(spark: SparkSession, connection, sf_dir: str, name: str) -> tuple[bo
     wanted = rows_of(answer.columns, answer.fetchall())
     if sorted(result.columns) != sorted(answer.columns):
         return False, f"columns {result.columns} and {answer.columns}"
+    types = {f.name: f.dataType.simpleString() for f in result.schema.fields}
+    for column, kind in zip(answer.columns, answer.types):
+        if TYPE_NAMES.get(types[column], types[column]) != str(kind):
+            return False, f"{column} is {types[column]} and {kind}"
     if got != wanted:
         pairs = [(g, w) for g, w in zip(got, wanted) if g != w][:1]
         return False, f"{len(got)} and {len(wanted)} rows, {str(pairs)[:700]}"
