@@ -413,7 +413,7 @@ WHERE pos <= 9 AND NOT {IS_PDF.replace("link", "l.link", 1)} AND {S.gate('js', '
 def kept_links(spark, sf_dir):
     links = P.drop_pdf(L.cap_links(fixture(spark, sf_dir, "links")))
     replies = fixture(spark, sf_dir, "page_replies")
-    return P.esg_replies(L.with_replies(links, replies, "link"))
+    return P.esg_replies(L.with_replies(links, replies, "link", ["request_id", "pos"]))
 
 
 @check("request_outcome", f"""

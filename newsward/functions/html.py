@@ -18,6 +18,9 @@ TAG = r"""</?[a-zA-Z](?:[^'">]++|"[^"]*+"|'[^']*+')*+>|<[!?][^>]*>"""
 ATTRIBUTE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 PARAGRAPH_END = r"(?i)</p\s*>|<p\b|</(?:article|body|div|footer|header|html|li|main|nav|section|td|ul|ol|table)\s*>"
 
+# The character references met most often; `amp` stays last.
+COMMON = {"lt": "<", "gt": ">", "quot": '"', "nbsp": "\u00a0", "copy": "©", "middot": "·", "amp": "&"}
+
 
 def _reference_names() -> Column:
     """Every named character reference, from the standard library's table: most need
@@ -68,7 +71,12 @@ def unescape(text: Column) -> Column:
         )
 
     decoded = F.array_join(F.transform(pieces, decode), "")
-    return F.when(text.contains("&"), decoded).otherwise(text)
+    # Most texts hold only the common references: plain replacing, `&` itself last.
+    common = text
+    for name, char in COMMON.items():
+        common = F.replace(common, F.lit(f"&{name};"), F.lit(char))
+    rare = text.rlike("&(?!(?:" + "|".join(COMMON) + ");)")
+    return F.when(~text.contains("&"), text).when(~rare, common).otherwise(decoded)
 
 
 def drop_hidden(source: Column) -> Column:

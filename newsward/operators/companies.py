@@ -6,18 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsward.lexicons import DEFAULT
+from newsward.operators.skew import dimension_join
 
-# The company dimension may be of any size: no broadcast is forced. A small one is
-# broadcast by its statistics; else the join shuffles and AQE splits hot companies.
-
-
-def _company_ids(companies: DataFrame) -> DataFrame:
-    return companies.select(F.trim("company_id").alias("known_id")).distinct()
+# Requests may name one company very often; see ``dimension_join`` for both ways.
 
 
 def _match(requests: DataFrame, companies: DataFrame, how: str) -> DataFrame:
-    ids = _company_ids(companies)
-    return requests.join(ids, F.trim(requests["company_id"]) == ids["known_id"], how)
+    ids = companies.select(F.trim("company_id").alias("known_id")).distinct()
+    flagged = ids.withColumn("is_known", F.lit(True)) if how == "left" else ids
+    keyed = requests.withColumn("known_id", F.trim("company_id"))
+    return dimension_join(keyed, flagged, "known_id", how, requests.columns).drop("known_id")
 
 
 def known_companies(requests: DataFrame, companies: DataFrame) -> DataFrame:
@@ -32,7 +30,7 @@ def unknown_companies(requests: DataFrame, companies: DataFrame) -> DataFrame:
 def flag_known(requests: DataFrame, companies: DataFrame) -> DataFrame:
     """Add ``is_known``: one pass where a job needs both halves."""
     joined = _match(requests, companies, "left")
-    return joined.withColumn("is_known", F.col("known_id").isNotNull()).drop("known_id")
+    return joined.withColumn("is_known", F.coalesce("is_known", F.lit(False)))
 
 
 def fan_out_keywords(
@@ -43,8 +41,9 @@ def fan_out_keywords(
     A company whose industry has no list gets the default one, or fails the job
     with ``on_unknown='fail'``.
     """
-    labels = lexicon.select(F.col("industry").alias("list_name")).distinct()
-    marked = companies.join(labels, companies["industry"] == labels["list_name"], "left")
+    columns = companies.columns
+    labels = lexicon.select("industry", F.col("industry").alias("list_name")).distinct()
+    marked = dimension_join(companies, labels, "industry", "left", columns)
     if on_unknown == "default":
         chosen = F.coalesce("list_name", F.lit(DEFAULT))
     elif on_unknown == "fail":
@@ -55,4 +54,7 @@ def fan_out_keywords(
     keywords = lexicon.select(
         F.col("industry").alias("list_name"), "pos", F.col("keyword").alias("search_query")
     )
-    return marked.withColumn("list_name", chosen).join(keywords, "list_name").drop("list_name")
+    listed = marked.withColumn("list_name", chosen)
+    return dimension_join(listed, keywords, "list_name", "inner", columns).select(
+        *columns, "pos", "search_query"
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsward.functions import reply as R
 from newsward.functions.text import strip_quotes, title_case
 from newsward.operators.ids import with_ids
-from newsward.operators.skew import skew_join
+from newsward.operators.skew import dimension_join
 
 # The theme table.
 THEME_IDS = {"Environmental": 1, "Social": 2, "Governance": 3}
@@ -37,14 +37,14 @@ def country_key(country: Column) -> Column:
 def lookup_country(records: DataFrame, countries: DataFrame, salt_by: list[str]) -> DataFrame:
     """Add ``country_id``, null for an unknown country.
 
-    The dimension grows with every new spelling, so nothing is forced to broadcast;
-    a country that many records share is salted.
+    The dimension grows with every new spelling, so its size is checked, and many
+    records may share one country.
     """
     known = countries.groupBy(country_key(F.col("country")).alias("country_key")).agg(
         F.min("id").alias("country_id")
     )
     keyed = records.withColumn("country_key", country_key(F.col("country")))
-    return skew_join(keyed, known, "country_key", "left", salt_by).drop("country_key")
+    return dimension_join(keyed, known, "country_key", "left", salt_by).drop("country_key")
 
 
 def new_countries(records: DataFrame, countries: DataFrame, seq: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsward.functions import html as H
 from newsward.functions.text import clean_text
 from newsward.operators.skew import skew_join
+from newsward.session import stage
 
 # Links used per request, and the slice of the single-company route.
 LINKS_PER_REQUEST = 9
@@ -31,8 +32,16 @@ def cap_links(links: DataFrame, key: str = "request_id") -> DataFrame:
 
 
 def requests_with_links(requests: DataFrame, links: DataFrame) -> DataFrame:
-    """Keep requests that found nothing, with null link columns."""
-    return requests.join(links, "request_id", "left")
+    """Keep requests that found nothing, with null link columns.
+
+    The links are the side that may hold very many rows of one request, so they are
+    spread, and the requests without any are added from an anti join.
+    """
+    found = skew_join(links, requests, "request_id", "inner", ["pos", "link"])
+    ids = links.select("request_id").distinct()
+    empty = requests.join(ids, "request_id", "left_anti")
+    both = found.unionByName(empty, allowMissingColumns=True)
+    return both.select(*requests.columns, *[c for c in links.columns if c != "request_id"])
 
 
 def article_text(links: DataFrame, pages: DataFrame) -> DataFrame:
@@ -48,9 +57,21 @@ def article_text(links: DataFrame, pages: DataFrame) -> DataFrame:
 
 def links_with_text(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Each link with its cleaned article text; a link without page drops out."""
+    links = stage(links)
     return skew_join(links, article_text(links, pages), "link", "inner", ["request_id", "pos"])
 
 
-def with_replies(articles: DataFrame, replies: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Attach precomputed classifier replies; articles without one keep a null reply."""
-    return articles.join(replies.select(key, "reply"), key, "left")
+def with_replies(
+    articles: DataFrame,
+    replies: DataFrame,
+    key: str = "doc_id",
+    salt_by: list[str] | None = None,
+) -> DataFrame:
+    """Attach precomputed classifier replies; articles without one keep a null reply.
+
+    Where many rows may share a key, as with links, ``salt_by`` names what tells them apart.
+    """
+    stored = replies.select(key, "reply")
+    if salt_by is None:
+        return articles.join(stored, key, "left")
+    return skew_join(articles, stored, key, "left", salt_by)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from newsward import lexicons
 from newsward.functions.once import compute_once
 from newsward.functions.text import fold, published_date, sentences, words
+from newsward.operators.skew import dimension_join
 
 DICTIONARY_LIMIT = 5000
 DATE = r"\b([0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})\b"
@@ -75,7 +76,8 @@ def join_hits(articles: DataFrame, terms: DataFrame, column: str) -> DataFrame:
     spelled = articles.select("doc_id", words(F.col("text")).alias("word_list"))
     placed = spelled.select("doc_id", "word_list", F.posexplode("word_list").alias("at", "word"))
     fits = F.slice("word_list", F.col("at") + 1, F.size("parts")) == F.col("parts")
-    return placed.join(starts, "word").where(fits).select("doc_id", "at", "term")
+    joined = dimension_join(placed, starts, "word", "inner", ["doc_id", "at"])
+    return joined.where(fits).select("doc_id", "at", "term")
 
 
 def match_keywords(articles: DataFrame, lexicon: DataFrame) -> DataFrame:

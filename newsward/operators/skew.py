@@ -39,7 +39,8 @@ def skew_join(
 ) -> DataFrame:
     """Join on ``key`` where the left side may hold a huge share of rows under one key.
 
-    Rows of a hot key get one of ``salts`` values from the columns ``salt_by``
+    The left side is read twice, for its frequent keys and for the join, so a costly
+    one is best staged. Rows of a hot key, or of no key, get one of ``salts`` values from the columns ``salt_by``
     (which should tell rows apart); the right rows of that key are copied once per
     salt. Only right rows of hot keys are copied, so a large right side stays as it is.
     """
@@ -48,7 +49,7 @@ def skew_join(
     hot = F.broadcast(hot_keys(left, key, min_rows).withColumn("key_is_hot", F.lit(True)))
     spread_rows = F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
     salted_left = left.join(hot, key, "left").withColumn(
-        "salt", F.when(F.col("key_is_hot"), spread_rows).otherwise(F.lit(0))
+        "salt", F.when(F.col("key_is_hot") | F.col(key).isNull(), spread_rows).otherwise(F.lit(0))
     )
     copies = F.when(F.col("key_is_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
     salted_right = right.join(hot, key, "left").withColumn(
@@ -58,3 +59,19 @@ def skew_join(
         salted_right.drop("key_is_hot"), [key, "salt"], how
     )
     return joined.drop("salt")
+
+
+def dimension_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    how: str,
+    salt_by: list[str],
+    row_bytes: int = 200,
+) -> DataFrame:
+    """Join a large left side to a dimension of unknown size: broadcast within the
+    bound, which moves no left row, else by ``skew_join``."""
+    counted = checked_broadcast(right, row_bytes)
+    if counted is right:
+        return skew_join(left, right, key, how, salt_by)
+    return left.join(counted, key, how)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from newsward.functions.text import sentences
 from newsward.lexicons import STOP_WORDS
-from newsward.operators.skew import checked_broadcast
+from newsward.operators.skew import dimension_join
 
 # The usual damping of the ranking, and the length of a summary.
 DAMPING = 0.85
@@ -59,15 +59,17 @@ def sentence_vectors(split: DataFrame, vectors: DataFrame, dim: int) -> DataFram
 
     ``vectors`` is (word, embedding). An unknown word adds nothing, an empty sentence
     has a vector of zeros. The dictionary is broadcast if its counted size allows it,
-    else joined by a shuffle. Each dimension is an aggregate of its own, so sums are
+    else joined by a salted shuffle. Each dimension is an aggregate of its own, so sums are
     combined before any shuffle and no row per dimension arises.
     """
     apart = split.select("doc_id", "pos", F.explode(F.split("sentence", BETWEEN_WORDS)).alias("raw"))
     # A dropped word stays as a null: it neither counts nor matches, but its sentence stays.
     word = F.lower("raw")
     spelled = apart.select("doc_id", "pos", F.when(~word.isin(_dropped(None)), word).alias("word"))
-    dictionary = checked_broadcast(vectors.select("word", "embedding"), row_bytes=4 * dim + 100)
-    joined = spelled.join(dictionary, "word", "left")
+    dictionary = vectors.select("word", "embedding")
+    joined = dimension_join(
+        spelled, dictionary, "word", "left", ["doc_id", "pos"], row_bytes=4 * dim + 100
+    )
     sums = [F.expr(f"sum(CAST(embedding[{k}] AS DOUBLE)) AS v{k}") for k in range(dim)]
     added = joined.groupBy("doc_id", "pos").agg(F.count("word").alias("n_words"), *sums)
     values = ", ".join(f"coalesce(v{k}, 0D) / (n_words + 0.001D)" for k in range(dim))

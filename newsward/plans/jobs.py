@@ -18,7 +18,7 @@ from newsward.operators.links import article_text, cap_links
 from newsward.operators.outcomes import coalesce_status
 from newsward.operators.records import to_records
 from newsward.operators.rules import rule_replies, tag_articles
-from newsward.operators.skew import skew_join
+from newsward.operators.skew import dimension_join, skew_join
 from newsward.session import stage
 from newsward.sources.mart import JdbcMart, ParquetMart, load_datamart
 from newsward.sources.news import flatten_news
@@ -250,8 +250,9 @@ def _api_job(
 ) -> JobResult:
     """``envelopes`` has request_id beside the fields of a response."""
     checked = flag_known(requests, companies)
-    articles = flatten_news(envelopes, keep=("request_id",)).join(
-        _accepted(checked, refusals), "request_id"
+    flat = flatten_news(envelopes, keep=("request_id",))
+    articles = dimension_join(
+        flat, _accepted(checked, refusals), "request_id", "inner", ["pos", "url"]
     )
     texted = articles.select(
         "request_id",
