@@ -1,3 +1,5 @@
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,12 +161,13 @@ def test_streaming(spark, tmp_path):
     links = links.withColumn("request_id", F.col("request_id").cast("string"))
     mart = M.ParquetMart(spark, str(tmp_path / "mart"))
     inbox = tmp_path / "inbox"
+    name = f"watch-{uuid.uuid4().hex}"
 
     def job(batch):
         return jobs.monitor_bulk(batch, companies, links, pages, classifier)
 
     def run():
-        query = watch_requests(spark, str(inbox), job, mart, str(tmp_path / "status"), f"watch-{tmp_path.name}")
+        query = watch_requests(spark, str(inbox), job, mart, str(tmp_path / "status"), name)
         query.awaitTermination(120)
         assert query.exception() is None
 
