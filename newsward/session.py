@@ -25,6 +25,10 @@ def build_session(app_name: str = "newsward", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+# The temporary folder of a local session without a configured one.
+LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach.
 
@@ -37,9 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="newsward-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in LOCAL_DIRS:
+        LOCAL_DIRS[application] = tempfile.mkdtemp(prefix="newsward-")
+    return LOCAL_DIRS[application]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
