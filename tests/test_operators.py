@@ -134,3 +134,30 @@ def test_text_is_made_once_per_link(spark):
     pages = spark.createDataFrame([("u", "<p>see https://x.org now</p>"), ("v", "<p>b</p>"), ("gone", "")], "link string, html string")
     assert [tuple(r) for r in L.article_text(links, pages).collect()] == [("u", "see now")]
     assert L.links_with_text(links, pages).count() == 2
+
+
+def test_large_dimensions_take_the_salted_way(spark, monkeypatch):
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
+    dim, asked = companies_and_requests(spark)
+    flags = {r["company_id"]: r["is_known"] for r in C.flag_known(asked, dim).collect()}
+    assert flags == {"1": True, "2 ": True, "4": False, None: False}
+    assert {r[0] for r in C.unknown_companies(asked, dim).collect()} == {"4", None}
+    fanned = C.fan_out_keywords(dim, keyword_table(spark))
+    assert fanned.count() == len(INDUSTRY_KEYWORDS["Retail"]) + 2 * len(INDUSTRY_KEYWORDS["default"])
+
+
+def test_requests_without_links_stay(spark):
+    asked = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "request_id bigint, company_name string")
+    joined = L.requests_with_links(asked, links_of(spark, {1: 40, 3: 1}))
+    assert joined.columns == ["request_id", "company_name", "pos", "link"]
+    counts = {r["request_id"]: r["count"] for r in joined.groupBy("request_id").count().collect()}
+    assert counts == {1: 40, 2: 1, 3: 1}
+    assert joined.where("request_id = 2").first()["link"] is None
+
+
+def test_replies_of_a_hot_link(spark):
+    articles = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("link"))
+    replies = spark.createDataFrame([("hot", "{}"), ("1", "x")], "link string, reply string")
+    both = [L.with_replies(articles, replies, "link", salt) for salt in (None, ["id"])]
+    first, second = (sorted(map(repr, df.select("id", "link", "reply").collect())) for df in both)
+    assert first == second and len(first) == 300
