@@ -8,8 +8,11 @@ its n x n matrix exactly and the work grows with n.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +39,9 @@ def split_sentences(documents: DataFrame) -> DataFrame:
     )
 
 
+# Executors get this module's functions by value and need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # All that is not a plain letter separates words.
 BETWEEN_WORDS = "[^a-zA-Z]+"
 
