@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsward.llm import mixing, packing, toxicity, urls
+from newsward.llm import lattice, mixing, near_dup, packing, scoring, toxicity, urls
 from newsward.llm.common import crc_of_id, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,31 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"))
     held_out = F.coalesce(crc_of_id() % toxicity.FOLDS == 0, F.lit(False)).alias("held_out")
     return toxicity.score(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
+@query("op5_lattice_likelihood")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = lattice.existing_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    return scoring.score_texts(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), vocabulary, group="lang")
+
+
+@query(
+    "op3_chosen_path",
+    r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 4 THEN hash(array_to_string(ws, ' ')) ELSE hash(ws[i], ws[i+1], ws[i+2], ws[i+3]) END AS h
+  FROM w, range(1, 1 + greatest(1, len(ws) - 3)) r(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+low AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(low.y, w.doc_id)) AS component_id,
+  w.doc_id <= coalesce(low.y, w.doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.x = w.doc_id
+""",
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
