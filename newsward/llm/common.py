@@ -32,6 +32,11 @@ def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def text_key() -> Column:
+    """Names a document by its id and text, so that null and repeated ids do no harm."""
+    return F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("doc_key")
+
+
 def running_total(df: DataFrame, order_by: list[str], value: str, name: str) -> DataFrame:
     """Add the sum of ``value`` over all rows before this one in the order of ``order_by``.
 
@@ -91,6 +96,35 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(edges.select("dst", "dst").distinct())
 
 
+# The largest filter that is sent to all tasks: 2**27 bits, 16 MB.
+FILTER_BITS = 27
+
+
+def key_filter(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A test that passes every value of the long column ``key`` and few others.
+
+    One hash bit per key in a bit map of bounded size. With more keys than the bound
+    serves well it passes more rows, and the join that follows stays right.
+    """
+    count = keys.count()
+    bits = min(FILTER_BITS, max(16, (8 * count).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    words = keys.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("mask")
+    )
+    table = words.toArrow()  # at most 2**21 rows of two numbers
+    masks = np.zeros(1 << (bits - 6), np.int64)
+    masks[table["word"].to_numpy()] = table["mask"].to_numpy()
+    shared = keys.sparkSession.sparkContext.broadcast(masks)
+
+    def test(places: pa.Array) -> pa.Array:
+        at = places.to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    passes = F.arrow_udf(test, "boolean")
+    return lambda value: passes(F.pmod(F.xxhash64(value), F.lit(1 << bits)))
+
+
 def runs(batches: Batches, key: str) -> Iterator[pa.RecordBatch]:
     """Cut a sorted partition into tables that each hold whole runs of ``key``.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsward.llm import lattice, mixing, near_dup, packing, scoring, toxicity, urls
+from newsward.llm import cover_tree, embed_dup, lattice, mixing, near_dup, packing, scoring, substrings, toxicity, urls
 from newsward.llm.common import crc_of_id, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,53 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.x = w.doc_id
 )
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(
+    "op6_repeated_phrases",
+    r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT r, i, md5(array_to_string(ws[i:i+34], ' ')) AS h FROM w, range(1, len(ws) - 33) t(i) WHERE len(ws) >= 35),
+rep AS (SELECT r, i FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT r, i + j AS k FROM rep, range(0, 35) t(j)),
+kept AS (SELECT w.r, k, ws[k] AS word FROM w, range(1, len(ws) + 1) t(k) WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.r = w.r AND gone.k = t.k)),
+joined AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS words FROM kept GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, len(ws)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM w LEFT JOIN joined USING (r)
+""",
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_recurring(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(
+    "op2_cover_tree",
+    """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS c FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.c::DOUBLE[], v.c::DOUBLE[])::BIGINT AS score
+  FROM v q, v WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id AND len(q.c) = len(v.c))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+""",
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_products(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query(
+    "op4_sorted_projections",
+    """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+links AS (SELECT a.r AS x, b.r AS y FROM g a JOIN g b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
+reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+n AS (SELECT x, count(*) AS n FROM links GROUP BY x),
+low AS (SELECT reach.x, min(v.vec_id) AS low FROM reach JOIN v ON v.r = reach.y GROUP BY reach.x)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least(vec_id, low), vec_id) AS component_id, coalesce(vec_id = coalesce(least(vec_id, low), vec_id), false) AS kept
+FROM v LEFT JOIN n ON n.x = v.r LEFT JOIN low ON low.x = v.r
+""",
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dup.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))

@@ -175,11 +175,14 @@ def score_texts(docs: DataFrame, vocabulary: lattice.Vocabulary, held_out=None,
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), flag.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"), kind.alias("kind"))
     frequent = docs.where("not held_out and kind is not null").groupBy("kind").count().orderBy(F.desc("count"), "kind").limit(CLASSES - 1)
     names_of = [row["kind"] for row in frequent.collect()]
-    number = F.lit(len(names_of))
+    listed = F.coalesce(F.col("kind").isin(names_of), F.lit(False))
+    # Rows of other values need a class of their own only if there are any to learn from.
+    others = not names_of or bool(docs.where("not held_out").where(~listed).select("doc_id").take(1))
+    number = F.lit(len(names_of) if others else 0)
     for i, name in enumerate(names_of):
         number = F.when(F.col("kind") == name, i).otherwise(number)
-    classes = len(names_of) + 1
-    docs = docs.withColumn("class", F.coalesce(number, F.lit(len(names_of))).cast("bigint"))
+    classes = len(names_of) + others
+    docs = docs.withColumn("class", number.cast("bigint"))
     size_of = docs.groupBy("class").agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.expr("int(not held_out)")).alias("train")).collect()
     train = np.zeros(classes, np.int64)
     train[[row["class"] for row in size_of]] = [row["train"] for row in size_of]
