@@ -1,11 +1,60 @@
-"""The corpus pipeline: toxicity, near-dedup, substring dedup, mixing, packing."""
+"""The corpus pipeline: toxicity, near-dedup, substring dedup, mixing, packing.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and read
+again as the next one's ``docs``. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from newsward.llm import mixing, near_dup, packing, substrings, toxicity
+from newsward.llm.common import read, written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models don't reject."""
+    model = toxicity.train(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return near_dup.one_of_each(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that recur; a text that loses nothing stays as it is."""
+    judged = substrings.judged(docs)
+    text = F.when(F.col("removal.n_removed") > 0, F.col("removal.kept")).otherwise(F.col("text"))
+    out = judged.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint"))
+    return out.select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("substring_dedup", cut_repeated_passages),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+# SQL has no tokenizer and no classifier; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

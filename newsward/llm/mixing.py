@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsward.llm.common import running_total, written
-from newsward.llm.words import flat, word_starts
+from newsward.llm.words import flat, word_starts, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -83,7 +83,7 @@ def fair_queue(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = S
     finish = F.when(F.col("target") > 0, (before + F.col("size")) / F.col("target"))
     return joined.select(
         *[F.col("d." + c) for c in docs.columns],
-        F.col("source_size"), F.col("target"), taken.alias("taken"), finish.alias("finish_time"),
+        F.col("source_size"), F.col("target"), taken.alias("taken"), F.array(*parts).alias("parts"), finish.alias("finish_time"),
     )
 
 
@@ -97,3 +97,30 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     narrow = sized(docs.select("doc_id", "source", "text")).select("doc_id", F.col("source").cast("string").alias("source"), "size")
     numbered = written(narrow.withColumn("row_no", F.monotonically_increasing_id()), "mix")
     return fair_queue(numbered, seed).select("doc_id", "size", "source_size", "target", "taken", "finish_time")
+
+
+def first_words(text: pa.Array, counts: pa.Array) -> pa.Array:
+    """Each text up to the end of its first ``counts`` words."""
+    _, _, ends, first, data = words(text)
+    _, offsets = flat(text)
+    out = []
+    for k, count in enumerate(counts.to_numpy(zero_copy_only=False)):
+        stop = ends[first[k] + count - 1] if count else offsets[k]
+        out.append(data[offsets[k] : stop].tobytes().decode())
+    return pa.array(out, pa.string())
+
+
+def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them; the document being served
+    when the budget ends is cut there. Rows of no words are not taken; ``n_chars``, if
+    there is one, is that of the text."""
+    numbered = written(sized(docs).withColumn("row_no", F.monotonically_increasing_id()), "mix")
+    queued = fair_queue(numbered.select("doc_id", "row_no", F.col("source").cast("string").alias("source"), "size"), seed)
+    served = queued.where("taken > 0").select("row_no", F.explode("parts").alias("part")).where("part > 0")
+    rows = numbered.join(served, "row_no")
+    cut = F.arrow_udf(first_words, "string")
+    text = F.when(F.col("part") < F.col("size"), cut("text", "part")).otherwise(F.col("text"))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast("bigint"))
+    return rows.select(*docs.columns)

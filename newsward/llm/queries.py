@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsward.llm import cover_tree, embed_dup, lattice, mixing, near_dup, packing, scoring, substrings, toxicity, urls
+from newsward.llm import block_labels, cover_tree, embed_dup, extraction, lattice, mixing, near_dup, packing, scoring, substrings, toxicity, urls
 from newsward.llm.common import crc_of_id, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,8 @@ FROM v LEFT JOIN n ON n.x = v.r LEFT JOIN low ON low.x = v.r
 )
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dup.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+@query("op1_block_labels")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"), block_labels.trained())
