@@ -16,7 +16,8 @@ from newsward.llm.common import read, written
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models don't reject."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("own_row"), "text")
+    return toxicity.score(rows, model).where("predicted = 0").select("own_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +28,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that recur; a text that loses nothing stays as it is."""
     judged = substrings.judged(docs)
-    text = F.when(F.col("removal.n_removed") > 0, F.col("removal.kept")).otherwise(F.col("text"))
-    out = judged.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint"))
-    return out.select(*docs.columns)
+    kept = F.when(F.col("removal.n_removed") > 0, F.col("removal.kept")).otherwise(F.col("own_row.text"))
+    return mixing.with_text(judged, kept)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

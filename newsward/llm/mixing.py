@@ -114,13 +114,21 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them; the document being served
     when the budget ends is cut there. Rows of no words are not taken; ``n_chars``, if
     there is one, is that of the text."""
-    numbered = written(sized(docs).withColumn("row_no", F.monotonically_increasing_id()), "mix")
-    queued = fair_queue(numbered.select("doc_id", "row_no", F.col("source").cast("string").alias("source"), "size"), seed)
-    served = queued.where("taken > 0").select("row_no", F.explode("parts").alias("part")).where("part > 0")
+    own = docs.select(F.struct(*docs.columns).alias("own_row"))
+    text = F.col("own_row.text")
+    numbered = own.withColumn("size", F.arrow_udf(count_words, "bigint")(F.coalesce(text, F.lit(""))))
+    numbered = written(numbered.withColumn("row_no", F.monotonically_increasing_id()), "mix")
+    narrow = numbered.select("own_row.doc_id", "row_no", F.col("own_row.source").cast("string").alias("source"), "size")
+    served = fair_queue(narrow, seed).where("taken > 0").select("row_no", F.explode("parts").alias("part")).where("part > 0")
     rows = numbered.join(served, "row_no")
     cut = F.arrow_udf(first_words, "string")
-    text = F.when(F.col("part") < F.col("size"), cut("text", "part")).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("bigint"))
-    return rows.select(*docs.columns)
+    part = F.when(F.col("part") < F.col("size"), cut(text, F.col("part"))).otherwise(text)
+    return with_text(rows, part)
+
+
+def with_text(rows: DataFrame, text) -> DataFrame:
+    """The columns of ``own_row`` with another text, and ``n_chars``, if there is one, to match."""
+    row = F.col("own_row").withField("text", text)
+    if "n_chars" in rows.schema["own_row"].dataType.names:
+        row = row.withField("n_chars", F.length(text).cast("bigint"))
+    return rows.select(row.alias("own_row")).select("own_row.*")

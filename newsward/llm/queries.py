@@ -42,7 +42,7 @@ def _judged(source: str) -> str:
 @query(
     "op7_redirect_equivalence",
     rf"""
-WITH RECURSIVE p AS (SELECT *, row_number() OVER () AS row_no FROM pages),
+WITH RECURSIVE p AS (SELECT page_id, url, row_number() OVER () AS row_no FROM pages),
 tags AS (
   SELECT url, unnest(list_concat(
     list_transform(regexp_extract_all(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical["''\s/>][^>]*>?', 0, 'is'), lambda t: regexp_extract(t, '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is')),
@@ -170,8 +170,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op4_sorted_projections",
     """
-WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-g AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, CASE WHEN len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 THEN list_transform(embedding, lambda x: x::DOUBLE) END AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND list_dot_product(e, e) > 0),
 links AS (SELECT a.r AS x, b.r AS y FROM g a JOIN g b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
   WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
 reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),

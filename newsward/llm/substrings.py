@@ -213,7 +213,8 @@ def _covered(count: int, copies: int | None, spans: list[bytes] | None, window:
 
 
 def judged(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with ``removal``: the words, the words removed, and the text kept.
+    """Each row of ``docs`` as ``own_row``, and ``removal``: the words, the words removed,
+    the text kept and its SHA-256.
 
     A word goes if a window of ``window`` words that covers it starts anywhere else too,
     in this text or another; kept words are joined by one space. Null texts have no
@@ -237,13 +238,14 @@ def judged(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return pa.array(out, kind)
 
     spans = recurring_spans(docs, window).withColumnsRenamed({"seq": "own_seq", "copies": "own_copies", "spans": "own_spans"})
-    text = F.coalesce(F.col("text"), F.lit(""))
-    joined = docs.withColumn("own_seq", F.arrow_udf(keys, "bigint")(text)).join(spans, "own_seq", "left")
+    rows = docs.select(F.struct(*docs.columns).alias("own_row"))
+    text = F.coalesce(F.col("own_row.text"), F.lit(""))
+    joined = rows.withColumn("own_seq", F.arrow_udf(keys, "bigint")(text)).join(spans, "own_seq", "left")
     removal = F.arrow_udf(cut, "struct<n_words:bigint,n_removed:bigint,kept:string,sha256:string>")
-    return joined.withColumn("removal", removal(text, F.col("own_copies"), F.col("own_spans"))).drop("own_seq", "own_copies", "own_spans")
+    return joined.select("own_row", removal(text, F.col("own_copies"), F.col("own_spans")).alias("removal"))
 
 
 def remove_recurring(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` for every row; see :func:`judged`."""
     out = judged(docs.select("doc_id", "text"), window)
-    return out.select("doc_id", "removal.n_words", "removal.n_removed", F.col("removal.sha256").alias("kept_sha256"))
+    return out.select("own_row.doc_id", "removal.n_words", "removal.n_removed", F.col("removal.sha256").alias("kept_sha256"))

@@ -20,6 +20,8 @@ PAIR_DISCOUNT = 1e9
 # Discounts of the two orders: counts up to this go to the shared backoff.
 PAIR_DISCOUNT = 2.0
 WORD_DISCOUNT = 1.0
+# The highest score without any evidence: nothing is rejected then.
+NO_EVIDENCE = 0.49
 # A word whose class counts differ by less than this many standard deviations is a rare
 # or neutral expression: both classes take its shared count.
 SIGNIFICANT = 4.0
@@ -166,8 +168,8 @@ def logistic(x: np.ndarray, y: np.ndarray, prior: float, rounds: int = 30) -> np
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_PER_CLASS) -> Model:
     """Fit on the ``most`` labelled documents of each class with the lowest hashed id,
-    held-out ids excluded. Without labelled documents of both classes, every text gets
-    the share of label 1 as its score."""
+    held-out ids excluded. Without labelled documents of both classes that tell words
+    apart, every text gets the share of label 1 as its score, but less than a half."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(crc_of_id() % FOLDS != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(F.col("toxic").isin(0, 1))
     of_class = {row["toxic"]: row["count"] for row in known.groupBy("toxic").count().collect()}
@@ -178,10 +180,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_PER_CLASS) -> Mo
     rows = texts.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("toxic").alias("toxic"))
     table = rows.toArrow().sort_by("doc_id")
     y = table["toxic"].to_numpy()
-    if len(set(y.tolist())) < 2:
-        none = Table(np.zeros(0, np.uint64), np.zeros(0))
-        return Model(none, none, np.array([0.0, 0.0, np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))]))
-    return fit(table["text"].combine_chunks(), y, min(max(prior, 0.01), 0.99))
+    if len(set(y.tolist())) == 2:
+        model = fit(table["text"].combine_chunks(), y, min(max(prior, 0.01), 0.99))
+        if len(model.words.keys):
+            return model
+    none = Table(np.zeros(0, np.uint64), np.zeros(0))
+    share = min(max(prior, 1e-9), NO_EVIDENCE)
+    return Model(none, none, np.array([0.0, 0.0, np.log(share / (1 - share))]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
