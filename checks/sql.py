@@ -31,10 +31,8 @@ def collapse_ws(text: str) -> str:
 
 
 def drop_hidden(html: str) -> str:
-    html = sub(html, r"(?s)<!--.*?(?:-->|\z)")
-    for tag in ("script", "style", "template"):
-        html = sub(html, rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)")
-    return html
+    hidden = [rf"<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)" for tag in ("script", "style", "template")]
+    return sub(html, r"(?is)<!--.*?(?:-->|\z)|" + "|".join(hidden))
 
 
 def unescape(text: str) -> str:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from newsward.functions.text import collapse_ws, strip_ws
 
 # Elements whose content is not text; an unclosed one runs to the end of the page.
-HIDDEN = r"(?is)<(script|style|template)\b[^>]*>.*?(?:</\1\s*>|\z)"
-COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+# Comments stand in the same pattern, so that whichever starts first is cut: a script may
+# hold `<!--`, and a comment a script.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template)\b[^>]*>.*?(?:</\1\s*>|\z)"
 # A tag may hold `>` inside quotes. Possessive loops keep long tags off the Java stack.
 TAG = r"""</?[a-zA-Z](?:[^'">]++|"[^"]*+"|'[^']*+')*+>|<[!?][^>]*>"""
 ATTRIBUTE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
@@ -81,7 +82,7 @@ def unescape(text: Column) -> Column:
 
 def drop_hidden(source: Column) -> Column:
     """Cut scripts, styles, templates and comments."""
-    return F.regexp_replace(F.regexp_replace(source, COMMENT, ""), HIDDEN, "")
+    return F.regexp_replace(source, HIDDEN, "")
 
 
 def fragment_text(fragment: Column) -> Column:

@@ -48,11 +48,12 @@ def article_text(links: DataFrame, pages: DataFrame) -> DataFrame:
     """(link, text) once per distinct link that has a stored page.
 
     A link found by many requests is fetched and cleaned once; only its key is
-    shuffled with the requests.
+    shuffled with the requests. Of pages stored again under a link, the smallest text counts.
     """
     wanted = links.select("link").distinct()
     stored = pages.where(F.col("html") != "").join(wanted, "link", "left_semi")
-    return stored.select("link", clean_text(H.html_text(F.col("html"))).alias("text"))
+    texts = stored.select("link", clean_text(H.html_text(F.col("html"))).alias("text"))
+    return texts.groupBy("link").agg(F.min("text").alias("text"))
 
 
 def links_with_text(links: DataFrame, pages: DataFrame) -> DataFrame:
@@ -69,9 +70,9 @@ def with_replies(
 ) -> DataFrame:
     """Attach precomputed classifier replies; articles without one keep a null reply.
 
-    Where many rows may share a key, as with links, ``salt_by`` names what tells them apart.
+    Of replies stored again under a key, the smallest counts. Where many rows may share a key, as with links, ``salt_by`` names what tells them apart.
     """
-    stored = replies.select(key, "reply")
+    stored = replies.groupBy(key).agg(F.min("reply").alias("reply"))
     if salt_by is None:
         return articles.join(stored, key, "left")
     return skew_join(articles, stored, key, "left", salt_by)

@@ -17,6 +17,7 @@ from newsward import lexicons
 from newsward.functions.once import compute_once
 from newsward.functions.text import fold, published_date, sentences, words
 from newsward.operators.skew import dimension_join
+from newsward.session import stage
 
 DICTIONARY_LIMIT = 5000
 DATE = r"\b([0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})\b"
@@ -73,22 +74,25 @@ def join_hits(articles: DataFrame, terms: DataFrame, column: str) -> DataFrame:
     starts = folded_terms(terms, column).select(
         "term", F.split("term", " ").alias("parts"), F.split("term", " ")[0].alias("word")
     )
+    # A word takes along only as many words as the longest term has.
+    longest = starts.agg(F.max(F.size("parts"))).first()[0] or 1
     spelled = articles.select("doc_id", words(F.col("text")).alias("word_list"))
-    placed = spelled.select("doc_id", "word_list", F.posexplode("word_list").alias("at", "word"))
-    fits = F.slice("word_list", F.col("at") + 1, F.size("parts")) == F.col("parts")
+    around = F.transform("word_list", lambda w, i: F.struct(i.alias("at"), w.alias("word"), F.slice("word_list", i + 1, longest).alias("near")))
+    placed = spelled.select("doc_id", F.explode(around).alias("spot")).select("doc_id", "spot.*")
+    fits = F.slice("near", F.lit(1), F.size("parts")) == F.col("parts")
     joined = dimension_join(placed, starts, "word", "inner", ["doc_id", "at"])
     return joined.where(fits).select("doc_id", "at", "term")
 
 
 def match_keywords(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(doc_id, keyword): each keyword found in an article, once."""
+    """(doc_id, keyword): each keyword found in the articles of a doc_id, once."""
     terms = small_dictionary(lexicon, "keyword")
     if terms is None:
         found = join_hits(articles, lexicon, "keyword")
         return found.select("doc_id", F.col("term").alias("keyword")).distinct()
     spelled = articles.select("doc_id", words(F.col("text")).alias("word_list"))
     hits = term_hits(F.col("word_list"), terms)
-    return spelled.select("doc_id", F.explode(found_terms(hits)).alias("keyword"))
+    return spelled.select("doc_id", F.explode(found_terms(hits)).alias("keyword")).distinct()
 
 
 def _count_in(found: Column, terms: Iterable[str]) -> Column:
@@ -125,17 +129,20 @@ def first_date(text: Column) -> Column:
 
 
 def tag_countries(articles: DataFrame, countries: DataFrame) -> DataFrame:
-    """(doc_id, country): the earliest name of the country dimension in the text, the
+    """(doc_id, country) for each row of ``articles``: the earliest name of the country dimension in the text, the
     longest one if several start there, spelled as in the dimension; else ''."""
     names = countries.select("country", fold(F.col("country")).alias("term")).where("term <> ''")
     spelling = names.groupBy("term").agg(F.min("country").alias("country"))
     rows = spelling.limit(DICTIONARY_LIMIT + 1).collect()
     if len(rows) > DICTIONARY_LIMIT:
-        hits = join_hits(articles, countries, "country")
+        marked = stage(articles.withColumn("row_mark", F.monotonically_increasing_id()))
+        keyed = marked.select(F.col("row_mark").alias("doc_id"), "text")
+        hits = join_hits(keyed, countries, "country")
         order = F.struct(F.col("at"), -F.length("term"))
         first = hits.groupBy("doc_id").agg(F.min_by("term", order).alias("term"))
         named = first.join(spelling, "term").select("doc_id", "country")
-        every = articles.select("doc_id").join(named, "doc_id", "left")
+        named = named.withColumnRenamed("doc_id", "row_mark")
+        every = marked.select("doc_id", "row_mark").join(named, "row_mark", "left")
         return every.select("doc_id", F.coalesce("country", F.lit("")).alias("country"))
     spelled = articles.select("doc_id", words(F.col("text")).alias("word_list"))
     hits = term_hits(F.col("word_list"), [r["term"] for r in rows])
@@ -163,15 +170,14 @@ def tag_articles(
 ) -> DataFrame:
     """All tags of each article, beside its other columns; its words are read once.
 
-    Keywords and country names must fit ``DICTIONARY_LIMIT`` here; for larger
-    dictionaries use ``match_keywords`` and ``tag_countries``.
+    Keywords or country names beyond ``DICTIONARY_LIMIT`` are joined; the tags are the same.
     """
     keywords = small_dictionary(lexicon, "keyword")
     names = countries.select("country", fold(F.col("country")).alias("term")).where("term <> ''")
     spelling = names.groupBy("term").agg(F.min("country").alias("country"))
     rows = spelling.limit(DICTIONARY_LIMIT + 1).collect()
     if keywords is None or len(rows) > DICTIONARY_LIMIT:
-        raise ValueError(f"more than {DICTIONARY_LIMIT} keywords or countries")
+        return _tag_by_join(articles, lexicon, countries, pillars, weights, incident_terms)
     country_names = {r["term"]: r["country"] for r in rows}
     pillar_terms = {name: sorted(terms) for name, terms in pillars.items()}
     plain = {t for terms in [*pillar_terms.values(), *weights.values(), incident_terms] for t in terms}
@@ -200,6 +206,21 @@ def tag_articles(
     )
 
 
+def _tag_by_join(articles, lexicon, countries, pillars, weights, incident_terms) -> DataFrame:
+    """``tag_articles`` with themes and countries from joins, row by row of ``articles``."""
+    marked = stage(articles.withColumn("row_mark", F.monotonically_increasing_id()))
+    base = tag_articles(marked, lexicon.limit(0), countries.limit(0), pillars, weights, incident_terms)
+    keyed = marked.select(F.col("row_mark").alias("doc_id"), "text")
+    hits = join_hits(keyed, lexicon, "keyword").groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("joined_themes"))
+    named = tag_countries(keyed, countries).withColumnRenamed("country", "joined_country")
+    found = named.join(hits, "doc_id", "left").withColumnRenamed("doc_id", "row_mark")
+    joined = base.join(found, "row_mark", "left")
+    none = F.array().cast("array<string>")
+    return joined.withColumns({"themes": F.coalesce("joined_themes", none), "country": F.col("joined_country")}).select(
+        *[c for c in base.columns if c != "row_mark"]
+    )
+
+
 def rule_replies(tags: DataFrame) -> DataFrame:
     """The tags written as a classifier would reply, beside the key columns."""
     summary = F.col("summary") if "summary" in tags.columns else F.lit("")

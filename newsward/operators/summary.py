@@ -114,9 +114,10 @@ def rank_scores(vectors: np.ndarray) -> np.ndarray:
 
     With unit vectors u, weights w and scores x = w * y, the stationary scores obey
     (w + d) y = d u.z + c with z = sum of y u, so one small system in the vector
-    dimension gives z and with it all scores: what the usual rounds converge to, in
-    time linear in the number of sentences. A sentence without similarity to any
-    other shares its score evenly.
+    dimension gives z and with it all scores, in time linear in the number of sentences:
+    what the usual rounds converge to where similarities are not negative. A sentence
+    without similarity to any other shares its score evenly. Where negative similarities
+    leave no finite solution, all sentences of the document score alike.
     """
     n = len(vectors)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -127,11 +128,16 @@ def rank_scores(vectors: np.ndarray) -> np.ndarray:
     scores = np.full(n, constant)
     if linked.any():
         v, w = u[linked], weight[linked]
+        if np.abs(w + DAMPING).min() < 1e-9:
+            return np.full(n, 1 / n)
         scaled = v / (w + DAMPING)[:, None]
         system = np.eye(v.shape[1]) - DAMPING * (v.T @ scaled)
-        z = np.linalg.solve(system, constant * scaled.sum(axis=0))
+        try:
+            z = np.linalg.solve(system, constant * scaled.sum(axis=0))
+        except np.linalg.LinAlgError:
+            return np.full(n, 1 / n)
         scores[linked] = w * (DAMPING * (v @ z) + constant) / (w + DAMPING)
-    return scores
+    return scores if np.isfinite(scores).all() else np.full(n, 1 / n)
 
 
 def sentence_rank(vectors: DataFrame) -> DataFrame:

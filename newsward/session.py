@@ -15,6 +15,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # A JSON object that repeats a key has its last value, as in Python's json. Sessions
+    # built elsewhere need this setting too, or such replies count as malformed.
+    "spark.sql.variant.allowDuplicateKeys": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from newsward.operators.datamart import Load, build_load, max_id
 from newsward.operators.records import RECORD_COLUMNS
+from newsward.session import stage
 
 # Table names and columns.
 DETAILS = "d_media_monitor_details"
@@ -27,14 +28,17 @@ SCHEMAS = {
 class ParquetMart:
     """Each load writes its own ``load_id`` folder per table and replaces only that.
 
-    A load that is run again after a failure therefore gives the same tables.
+    A load that is run again, even after other loads, keeps the countries it brought and
+    their ids, and its detail ids if it has as many records as before; with another
+    number it gets new ids behind all others. No dimension row is renumbered or lost.
+    One load writes at a time; the caller sees to that.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def read(self, table: str, without_load: str | None = None) -> DataFrame:
+    def read(self, table: str, only_load: str | None = None) -> DataFrame:
         schema = SCHEMAS[table]
         try:
             stored = self.spark.read.schema(f"{schema}, load_id string").parquet(f"{self.root}/{table}")
@@ -42,8 +46,8 @@ class ParquetMart:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], schema)
-        if without_load is not None:
-            stored = stored.where(F.col("load_id") != without_load)
+        if only_load is not None:
+            stored = stored.where(F.col("load_id") == only_load)
         return stored.drop("load_id")
 
     def write(self, table: str, rows: DataFrame, load_id: str) -> None:
@@ -53,13 +57,19 @@ class ParquetMart:
 
 
 class JdbcMart:
-    """The same tables in a database. Connection options come from the caller's job."""
+    """The same tables in a database. Connection options come from the caller's job.
+
+    Loads are not told apart here: a load that is run again appends its rows again, so
+    the caller must delete what a failed load has written first. Untested.
+    """
 
     def __init__(self, spark: SparkSession, options: dict[str, str]):
         self.spark = spark
         self.options = {"batchsize": "10000", **options}
 
-    def read(self, table: str, without_load: str | None = None) -> DataFrame:
+    def read(self, table: str, only_load: str | None = None) -> DataFrame:
+        if only_load is not None:
+            return self.spark.createDataFrame([], SCHEMAS[table])
         return self.spark.read.format("jdbc").options(**self.options, dbtable=table).load()
 
     def write(self, table: str, rows: DataFrame, load_id: str) -> None:
@@ -75,11 +85,15 @@ def load_datamart(
     bridges: bool = True,
 ) -> Load:
     """Append the records, the new countries and the bridge rows."""
-    last = max_id(mart.read(DETAILS, without_load=load_id))
-    known = mart.read(COUNTRIES, without_load=load_id)
-    load = build_load(records, known, order_by, last, bridges)
+    own = mart.read(DETAILS, only_load=load_id).agg(F.count("*"), F.min("id")).first()
+    again = own[0] > 0 and own[0] == records.count()
+    last = own[1] - 1 if again else max_id(mart.read(DETAILS))
+    # Staged, as this load's part of the table is written anew below.
+    load = build_load(records, stage(mart.read(COUNTRIES)), order_by, last, bridges)
     if bridges:
-        mart.write(COUNTRIES, load.countries, load_id)
+        # What this load brought before stays, under its ids.
+        brought = mart.read(COUNTRIES, only_load=load_id).unionByName(load.countries.select("id", "country"))
+        mart.write(COUNTRIES, stage(brought), load_id)
     mart.write(DETAILS, load.details.select("id", *RECORD_COLUMNS), load_id)
     if bridges:
         mart.write(INCIDENT_THEMES, load.incident_themes, load_id)

@@ -77,3 +77,35 @@ def test_ids_do_not_depend_on_partitions(spark):
     loads = [D.build_load(records.repartition(n), country_dim(spark), ["seq"], 10) for n in (1, 5)]
     first, second = (sorted((r["seq"], r["id"]) for r in load.details.collect()) for load in loads)
     assert first == second == [(1, 11), (2, 12), (3, 13)]
+
+
+def tables(mart):
+    names = (M.DETAILS, M.COUNTRIES, M.INCIDENT_THEMES, M.INCIDENT_COUNTRIES)
+    return {name: sorted(map(tuple, mart.read(name).collect())) for name in names}
+
+
+def test_an_earlier_load_is_repeated_without_changes(spark, tmp_path):
+    mart = M.ParquetMart(spark, str(tmp_path / "mart"))
+    records = X.to_records(replied(spark), "News", F.lit("2024-06-01 12:00:00").cast("timestamp"), keep=("seq",))
+    other = records.withColumn("country", F.lit("peru"))
+    M.load_datamart(mart, records, ["seq"], "a")
+    M.load_datamart(mart, other, ["seq"], "b")
+    before = tables(mart)
+    M.load_datamart(mart, records, ["seq"], "a")
+    assert tables(mart) == before
+
+
+def test_a_load_that_failed_half_way_keeps_its_countries(spark, tmp_path):
+    mart = M.ParquetMart(spark, str(tmp_path / "mart"))
+    records = X.to_records(replied(spark), "News", F.lit("2024-06-01 12:00:00").cast("timestamp"), keep=("seq",))
+    load = D.build_load(records, mart.read(M.COUNTRIES), ["seq"])
+    mart.write(M.COUNTRIES, load.countries, "a")  # and no more
+    first = tables(mart)[M.COUNTRIES]
+    M.load_datamart(mart, records.withColumn("country", F.lit("peru")), ["seq"], "b")
+    M.load_datamart(mart, records, ["seq"], "a")
+    after = tables(mart)
+    assert set(first) <= set(after[M.COUNTRIES])
+    ids = [row[0] for row in after[M.COUNTRIES]]
+    assert len(ids) == len(set(ids))
+    assert {row[1] for row in after[M.INCIDENT_COUNTRIES]} <= set(ids)
+    assert len({row[0] for row in after[M.DETAILS]}) == 6

@@ -74,3 +74,15 @@ def test_paragraphs_end_at_the_next_one(apply):
     page = "<p> one <b>b</b><p class='x'>two</p>out<div><p>three</div>out<pre>no</pre><script>'<p>s</p>'</script>"
     assert apply(H.paragraphs, [page]) == [["one b", "two", "three"]]
     assert apply(H.paragraph_text, [page]) == ["one b\ntwo\nthree"]
+
+
+def test_what_starts_first_is_hidden(apply):
+    from newsward.functions import html as H
+
+    pages = [
+        '<p>a</p><script>var s="<!--";</script><p>Article text</p>',
+        "<p>a</p><!-- <script> --><p>b</p>",
+        "<p>a</p><!-- open <p>b</p>",
+        "<p>a</p><style>x <!-- y --> z<p>b</p>",
+    ]
+    assert apply(H.html_text, pages) == ["aArticle text", "ab", "a", "a"]

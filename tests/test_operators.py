@@ -161,3 +161,13 @@ def test_replies_of_a_hot_link(spark):
     both = [L.with_replies(articles, replies, "link", salt) for salt in (None, ["id"])]
     first, second = (sorted(map(repr, df.select("id", "link", "reply").collect())) for df in both)
     assert first == second and len(first) == 300
+
+
+def test_pages_stored_again_count_once(spark):
+    from newsward.operators import links as L
+
+    links = spark.createDataFrame([("r", "u", 1)], "request_id string, link string, pos int")
+    pages = spark.createDataFrame([("u", "<p>b</p>"), ("u", "<p>a</p>"), ("u", "")], "link string, html string")
+    assert [r["text"] for r in L.links_with_text(links, pages).collect()] == ["a"]
+    replies = spark.createDataFrame([("u", "2"), ("u", "1")], "link string, reply string")
+    assert [r["reply"] for r in L.with_replies(links, replies, "link").collect()] == ["1"]

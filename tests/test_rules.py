@@ -78,3 +78,16 @@ def test_classify_marks_failing_rows(spark):
     rows = {r["doc_id"]: (r["reply"], r["error"]) for r in rules.classify(articles(spark), shout).collect()}
     assert rows[1] == ("POLLUTIONS FRAUDULENT", None)
     assert rows[2] == (None, "ValueError: empty")
+
+
+def test_tags_do_not_depend_on_the_dictionary_limit(spark, monkeypatch):
+    rows = articles(spark).union(articles(spark))  # repeated ids
+    def tags():
+        return sorted(map(repr, rules.tag_articles(rows, keyword_table(spark), countries(spark)).collect()))
+    def hits():
+        return sorted(map(tuple, rules.match_keywords(rows, keyword_table(spark)).collect()))
+    def named():
+        return sorted(map(tuple, rules.tag_countries(rows, countries(spark)).collect()))
+    small = tags(), hits(), named()
+    monkeypatch.setattr(rules, "DICTIONARY_LIMIT", 1)
+    assert (tags(), hits(), named()) == small

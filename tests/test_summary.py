@@ -106,3 +106,15 @@ def test_functions_reach_executors_without_the_package():
     from pyspark import cloudpickle
 
     assert "newsward.operators.summary" in cloudpickle.list_registry_pickle_by_value()
+
+
+def test_ranks_are_finite_for_negative_similarities():
+    import numpy as np
+
+    from newsward.operators.summary import rank_scores
+
+    angle = np.arccos(-0.85)
+    pair = np.array([[1.0, 0.0], [np.cos(angle), np.sin(angle)]])
+    assert np.allclose(rank_scores(pair), 0.5)
+    rng = np.random.default_rng(0)
+    assert all(np.isfinite(rank_scores(rng.standard_normal((n, 3)))).all() for n in range(1, 60))
