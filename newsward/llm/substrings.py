@@ -187,6 +187,8 @@ def recurring_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     once = signed.where("length(anchors) > 0").select("seq", "anchors").dropDuplicates(["seq"])
     rows = once.mapInArrow(_anchor_rows, "anchor bigint, seq bigint")
     often = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Written first, so that the join is one of plain shuffles and Spark splits a hot anchor.
+    often = written(often, "often")
     # The anchors of one text, which its length bounds.
     recurring = rows.join(often, "anchor").groupBy("seq").agg(F.collect_set("anchor").alias("recurring"))
     wanted = written(recurring.join(texts, "seq").select("seq", "doc_key", "recurring"), "wanted")
