@@ -84,6 +84,19 @@ def requests_from_json(spark, sf_dir):
     return requests.read_requests_json(spark, path, fields, json_lines=True)
 
 
+@check("requests_from_json_array", f"""
+SELECT company_id, company_name, search_query FROM {sql_of('requests')}""")
+def requests_from_json_array(spark, sf_dir):
+    """One array per file, as clients send it; files of bounded size."""
+    path = scratch_path(spark, "requests-array")
+    asked = fixture(spark, sf_dir, "requests").select("company_id", "company_name", "search_query")
+    lot = F.pmod(F.xxhash64(*asked.columns), F.lit(64))
+    arrays = asked.groupBy(lot.alias("lot")).agg(F.to_json(F.collect_list(F.struct(*asked.columns)), {"ignoreNullFields": "false"}).alias("value"))
+    arrays.select("lot", "value").write.partitionBy("lot").text(path)
+    fields = ["company_id", "company_name", "search_query"]
+    return requests.read_requests_json(spark, path, fields).select(*fields)
+
+
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored responses as JSON text, two articles each."""
     flat = fixture(spark, sf_dir, "news")

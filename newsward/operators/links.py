@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsward.functions import html as H
 from newsward.functions.text import clean_text
-from newsward.operators.skew import skew_join
+from newsward.operators.skew import near_keys, skew_join
 from newsward.session import stage
 
 # Links used per request, and the slice of the single-company route.
@@ -49,11 +49,14 @@ def article_text(links: DataFrame, pages: DataFrame) -> DataFrame:
 
     A link found by many requests is fetched and cleaned once; only its key is
     shuffled with the requests. Of pages stored again under a link, the smallest text counts.
+    HTML never moves: a bit map of the wanted links filters the pages where they are read,
+    and the texts of those that pass meet the links themselves.
     """
     wanted = links.select("link").distinct()
-    stored = pages.where(F.col("html") != "").join(wanted, "link", "left_semi")
+    stored = near_keys(pages.select("link", "html").where(F.col("html") != ""), wanted, "link")
     texts = stored.select("link", clean_text(H.html_text(F.col("html"))).alias("text"))
-    return texts.groupBy("link").agg(F.min("text").alias("text"))
+    once = texts.groupBy("link").agg(F.min("text").alias("text"))
+    return once.join(wanted, "link", "left_semi")
 
 
 def links_with_text(links: DataFrame, pages: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # At most this many keys are salted, which bounds the broadcast list of hot keys.
@@ -61,6 +61,28 @@ def skew_join(
     return joined.drop("salt")
 
 
+# Bits of the map that stands for a set of keys: at most 2**21 rows of two numbers.
+MAP_BITS = 27
+
+
+def near_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose key may be one of ``keys``, without moving any of them.
+
+    ``keys`` becomes a bit map of bounded size, one bit per hashed key, which is broadcast.
+    Every row of a key in ``keys`` passes, and some others, so an exact join must follow.
+    """
+
+    def place(name: str) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(1 << MAP_BITS))
+
+    bit = place(key).bitwiseAND(F.lit(63)).cast("int")
+    masks = keys.groupBy(F.shiftright(place(key), 6).alias("map_word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("map_mask")
+    )
+    marked = df.withColumn("map_word", F.shiftright(place(key), 6)).join(F.broadcast(masks), "map_word")
+    return marked.where(F.getbit("map_mask", bit) == 1).drop("map_word", "map_mask")
+
+
 def dimension_join(
     left: DataFrame,
     right: DataFrame,

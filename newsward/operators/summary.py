@@ -60,7 +60,9 @@ def clean_sentence(sentence: Column, stop_words: list[str] | None = None) -> Col
     return F.array_join(clean_words(sentence, stop_words), " ")
 
 
-def sentence_vectors(split: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+def sentence_vectors(
+    split: DataFrame, vectors: DataFrame, dim: int, stop_words: list[str] | None = None
+) -> DataFrame:
     """(doc_id, pos, n_words, vector): word vectors summed over n_words + 0.001.
 
     ``vectors`` is (word, embedding). An unknown word adds nothing, an empty sentence
@@ -71,7 +73,7 @@ def sentence_vectors(split: DataFrame, vectors: DataFrame, dim: int) -> DataFram
     apart = split.select("doc_id", "pos", F.explode(F.split("sentence", BETWEEN_WORDS)).alias("raw"))
     # A dropped word stays as a null: it neither counts nor matches, but its sentence stays.
     word = F.lower("raw")
-    spelled = apart.select("doc_id", "pos", F.when(~word.isin(_dropped(None)), word).alias("word"))
+    spelled = apart.select("doc_id", "pos", F.when(~word.isin(_dropped(stop_words)), word).alias("word"))
     dictionary = vectors.select("word", "embedding")
     joined = dimension_join(
         spelled, dictionary, "word", "left", ["doc_id", "pos"], row_bytes=4 * dim + 100
@@ -168,8 +170,14 @@ def summaries(split: DataFrame, scores: DataFrame, k: int = SUMMARY_SENTENCES) -
     return top.groupBy("doc_id").agg(text.alias("summary"))
 
 
-def summarize(documents: DataFrame, vectors: DataFrame, dim: int, k: int = SUMMARY_SENTENCES) -> DataFrame:
+def summarize(
+    documents: DataFrame,
+    vectors: DataFrame,
+    dim: int,
+    k: int = SUMMARY_SENTENCES,
+    stop_words: list[str] | None = None,
+) -> DataFrame:
     """(doc_id, summary) from whole texts."""
     split = split_sentences(by_document(documents))
-    scores = sentence_rank(sentence_vectors(split, vectors, dim))
+    scores = sentence_rank(sentence_vectors(split, vectors, dim, stop_words))
     return summaries(split, scores, k)

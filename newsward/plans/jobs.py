@@ -19,6 +19,7 @@ from newsward.operators.outcomes import coalesce_status
 from newsward.operators.records import to_records
 from newsward.operators.rules import rule_replies, tag_articles
 from newsward.operators.skew import dimension_join, skew_join
+from newsward.operators.summary import summarize
 from newsward.session import stage
 from newsward.sources.mart import JdbcMart, ParquetMart, load_datamart
 from newsward.sources.news import flatten_news
@@ -84,10 +85,25 @@ def precomputed(replies: DataFrame) -> Classifier:
     return attach
 
 
-def tagged(lexicon: DataFrame, countries: DataFrame) -> Classifier:
-    """A classifier that tags the texts by rules."""
+def with_summary(articles: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+    """Add ``summary``, made once per distinct text; '' for a text without sentences."""
+    named = F.sha2(F.coalesce("text", F.lit("")), 256)
+    texts = articles.where("text IS NOT NULL").select(named.alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    # Staged, so that Spark can split the join where many articles share a text.
+    made = stage(summarize(texts, vectors, dim).withColumnRenamed("doc_id", "text_name"))
+    joined = articles.withColumn("text_name", named).join(made, "text_name", "left").drop("text_name")
+    return joined.withColumn("summary", F.coalesce("summary", F.lit("")))
+
+
+def tagged(
+    lexicon: DataFrame, countries: DataFrame, vectors: DataFrame | None = None, dim: int = 100
+) -> Classifier:
+    """A classifier that tags the texts by rules; with word ``vectors`` of ``dim``
+    dimensions, it also summarises them."""
 
     def attach(articles: DataFrame) -> DataFrame:
+        if vectors is not None:
+            articles = with_summary(stage(articles), vectors, dim)
         return rule_replies(tag_articles(articles, lexicon, countries))
 
     return attach
@@ -179,7 +195,10 @@ def monitor_single(
 
 
 def _refuse_bad_rows(bad: DataFrame) -> None:
-    first = bad.take(1)
+    """Name the first bad row: in the order of ``row_no``, its place in the file, if the
+    requests carry one, else of ``request_id``."""
+    order = [name for name in ("row_no", "request_id") if name in bad.columns]
+    first = bad.orderBy(*order, "reason").take(1)
     if first:
         raise InvalidRequests(first[0]["reason"])
 
@@ -200,7 +219,7 @@ def monitor_bulk(
         reason = F.when(~filled(*WEB_FIELDS), CSV_FIELDS_MISSING).when(
             ~F.col("is_known"), not_found_text()
         )
-        _refuse_bad_rows(checked.select(reason.alias("reason")).where("reason IS NOT NULL"))
+        _refuse_bad_rows(checked.withColumn("reason", reason).where("reason IS NOT NULL"))
     elif mode != "report":
         raise ValueError(f"unknown mode: {mode}")
     return _web_job(
@@ -248,11 +267,12 @@ def _api_job(
     texts: tuple[str, str, str],
     proc_ts: Column | None,
 ) -> JobResult:
-    """``envelopes`` has request_id beside the fields of a response."""
+    """``envelopes`` has request_id beside the fields of a response. Its accepted articles
+    are staged, as the texts and the statuses both start from them."""
     checked = flag_known(requests, companies)
-    flat = flatten_news(envelopes, keep=("request_id",))
-    articles = dimension_join(
-        flat, _accepted(checked, refusals), "request_id", "inner", ["pos", "url"]
+    flat = flatten_news(envelopes, keep=("request_id",)).drop("source", "author")
+    articles = stage(
+        dimension_join(flat, _accepted(checked, refusals), "request_id", "inner", ["pos", "url"])
     )
     texted = articles.select(
         "request_id",

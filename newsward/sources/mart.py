@@ -84,7 +84,9 @@ def load_datamart(
     load_id: str,
     bridges: bool = True,
 ) -> Load:
-    """Append the records, the new countries and the bridge rows."""
+    """Append the records, the new countries and the bridge rows. The records are staged,
+    as they are counted, sorted and written, so that each is classified once."""
+    records = stage(records)
     own = mart.read(DETAILS, only_load=load_id).agg(F.count("*"), F.min("id")).first()
     again = own[0] > 0 and own[0] == records.count()
     last = own[1] - 1 if again else max_id(mart.read(DETAILS))

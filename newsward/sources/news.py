@@ -14,8 +14,11 @@ ENVELOPE = (
 
 
 def read_news(spark: SparkSession, path: str) -> DataFrame:
-    """Envelopes from JSON files, one response per line."""
-    return spark.read.schema(ENVELOPE).json(path)
+    """Envelopes from JSON files, one response per line, each with its ``request_id``: a
+    field of that name, else the file's name without ``.json`` and what follows."""
+    files = spark.read.schema(f"request_id string, {ENVELOPE}").json(path)
+    stem = F.regexp_replace(F.url_decode("_metadata.file_name"), "[.]json([.].*)?$", "")
+    return files.withColumn("request_id", F.coalesce("request_id", stem))
 
 
 def parse_envelope(text: Column) -> Column:

@@ -27,6 +27,20 @@ def read_pages(spark: SparkSession, path: str, format: str = "parquet") -> DataF
     return pages.select(F.col(link).alias("link"), "html")
 
 
+def read_result_pages(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
+    """(request_id, page_no, html) from a table, or from files ``<request_id>-<page_no>.html``."""
+    if format != "text":
+        return spark.read.format(format).load(path).select("request_id", "page_no", "html")
+    files = spark.read.text(path, wholetext=True)
+    name = F.url_decode("_metadata.file_name")
+    parts = r"^(.*)-(\d+)[.]html?$"
+    return files.select(
+        F.regexp_extract(name, parts, 1).alias("request_id"),
+        F.regexp_extract(name, parts, 2).cast("int").alias("page_no"),
+        F.col("value").alias("html"),
+    )
+
+
 def result_links(source: Column, result_class: str = RESULT_CLASS, on_missing: str = "skip") -> Column:
     """``array<struct<link,headline>>``: the first anchor of each result block.
 

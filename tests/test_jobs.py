@@ -179,3 +179,47 @@ def test_streaming(spark, tmp_path):
     run()
     assert sorted(r["id"] for r in mart.read(M.DETAILS).collect()) == [1, 2]
     assert spark.read.json(str(tmp_path / "status")).where("status = 'Data added successfully'").count() == 2
+
+
+def test_each_article_is_classified_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def classifier(articles):
+        def count(batches):
+            for batch in batches:
+                seen.add(len(batch))
+                batch["reply"] = '{"categories":"Social","country":"chad"}'
+                yield batch
+
+        kept = articles.drop("text")
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in articles.schema.fields)
+        return articles.mapInPandas(count, f"{fields}, reply string").select(*kept.columns, "reply")
+
+    companies = world(spark)[0]
+    asked = spark.range(1, 4).select(
+        F.col("id").alias("request_id"), F.col("id").cast("string").alias("company_id"), F.lit("A").alias("company_name"), F.lit("q").alias("search_query")
+    )
+    article = "named_struct('source', named_struct('id', null, 'name', 'n'), 'author', '', 'title', 't', 'description', 'd', 'url', 'u', 'publishedAt', '2024-01-02')"
+    envelopes = asked.selectExpr("request_id", "'ok' AS status", "2L AS totalResults", f"array({article}, {article}) AS articles")
+    job = jobs.monitor_news_api(asked, companies, envelopes, classifier)
+    done = job.run(M.ParquetMart(spark, str(tmp_path / "mart")), "one")
+    assert set(statuses(done).values()) == {jobs.SINGLE_DONE}
+    assert seen.value == 6
+
+
+def test_first_bad_row_is_named(spark):
+    rows = [(k, str(90 + k), "A", "q") for k in (3, 1, 2)]
+    asked = spark.createDataFrame(rows, REQUESTS)
+    with pytest.raises(jobs.InvalidRequests, match="Company ID 91 not found"):
+        jobs.monitor_bulk(asked, *world(spark), mode="fail")
+    with pytest.raises(jobs.InvalidRequests, match="Company ID 93 not found"):
+        jobs.monitor_bulk(asked.withColumn("row_no", -F.col("request_id")), *world(spark), mode="fail")
+
+
+def test_rule_tags_with_summary(spark):
+    words = spark.createDataFrame([("fraud", [1.0, 0.5]), ("pollution", [0.5, 1.0])], "word string, embedding array<double>")
+    articles = spark.createDataFrame([("a", "Fraud in Chad. Pollution in Chad."), ("b", None)], "link string, text string")
+    countries = spark.createDataFrame([("Chad",)], "country string")
+    classify = jobs.tagged(keyword_table(spark), countries, words, 2)
+    replies = {r["link"]: r["reply"] for r in classify(articles).collect()}
+    assert "Fraud in Chad." in replies["a"]

@@ -171,3 +171,27 @@ def test_pages_stored_again_count_once(spark):
     assert [r["text"] for r in L.links_with_text(links, pages).collect()] == ["a"]
     replies = spark.createDataFrame([("u", "2"), ("u", "1")], "link string, reply string")
     assert [r["reply"] for r in L.with_replies(links, replies, "link").collect()] == ["1"]
+
+
+def test_html_of_pages_never_moves(spark):
+    import re
+
+    links = spark.range(50).select("id", F.concat(F.lit("u"), "id").alias("link"))
+    pages = spark.range(400).select(F.concat(F.lit("u"), "id").alias("link"), F.concat(F.lit("<p>a"), "id", F.lit("</p>")).alias("html"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = L.article_text(links, pages)
+        plan = texts._jdf.queryExecution().explainString(texts.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        moved = re.findall(r"(?:Exchange|Sort)\nInput \[\d+\]: \[([^\]]*)\]", plan)
+        assert moved and not any("html" in columns for columns in moved)
+        assert {r["link"]: r["text"] for r in texts.collect()} == {f"u{k}": f"a{k}" for k in range(50)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_near_keys_take_all_wanted_and_few_others(spark):
+    keys = spark.createDataFrame([("a",), ("b",), (None,)], "link string")
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4)], "link string, n int")
+    assert {r["n"] for r in skew.near_keys(rows, keys, "link").collect()} == {1, 2, 3}
+    assert skew.near_keys(rows, keys.limit(0), "link").count() == 0

@@ -111,3 +111,18 @@ def test_exports(spark, tmp_path):
     assert [tuple(r) for r in back.collect()] == [("A/B", "u,1", 'say "x"\nnow')]
     exports.export_links_by_company(df, str(tmp_path / "links"))
     assert [p.name for p in (tmp_path / "links").iterdir() if p.is_dir()] == ["company=A%2FB"]
+
+
+def test_request_ids_of_files(spark, tmp_path):
+    from newsward.sources import news, pages
+
+    one = '{"status": "ok", "totalResults": 1, "articles": [{"title": "t", "url": "u"}]%s}'
+    (tmp_path / "news").mkdir()
+    (tmp_path / "news" / "r 1.json").write_text(one % "")
+    (tmp_path / "news" / "x.json").write_text(one % ', "request_id": "r2"')
+    read = news.read_news(spark, str(tmp_path / "news"))
+    assert sorted(r["request_id"] for r in news.flatten_news(read, keep=("request_id",)).collect()) == ["r 1", "r2"]
+    (tmp_path / "found").mkdir()
+    (tmp_path / "found" / "a-b-2.html").write_text("<p>x</p>")
+    rows = pages.read_result_pages(spark, str(tmp_path / "found"), "text").collect()
+    assert [tuple(r) for r in rows] == [("a-b", 2, "<p>x</p>")]
