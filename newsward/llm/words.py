@@ -16,6 +16,8 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 # Bytes hashed at a time: bounds the memory of the intermediate arrays (about 60 bytes each).
 CHUNK_BYTES = 1 << 20
+# A text that this pattern finds something in has words.
+WORD = r"[^\x20\x09-\x0D]"
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
