@@ -22,6 +22,8 @@ WINDOW = 35
 ANCHOR_WORDS = 8
 # Bytes that stand for a word in a shard.
 CODE_BYTES = 5
+# An anchor with more surroundings is confirmed window by window and dealt to many shards.
+SHARD_LIMIT = 512
 
 
 def sequence_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -114,57 +116,111 @@ def surroundings(texts: DataFrame, window: int) -> DataFrame:
     return texts.select("doc_key", "text", "seq", "recurring").mapInArrow(in_slices(work, "text"), schema)
 
 
+def window_names(packed: list[bytes], anchor: np.ndarray, window: int):
+    """The word codes of surroundings laid end to end, where each ends, and for each
+    window its surrounding, its first word there and a name by its anchor and words."""
+    sizes = np.array([len(x) // CODE_BYTES for x in packed])
+    wide = np.zeros((sizes.sum(), 8), np.uint8)
+    wide[:, :CODE_BYTES] = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, CODE_BYTES)
+    codes = wide.view(np.uint64).ravel()
+    ends = np.cumsum(sizes)
+    found = grams(mix(codes), window)
+    counts = sizes - window + 1
+    which = np.repeat(np.arange(len(packed)), counts)
+    place = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+    with np.errstate(over="ignore"):
+        names = mix(found[(ends - sizes)[which] + place] ^ mix(anchor.astype(np.int64).view(np.uint64)[which]))
+    return codes, ends, which, place, names
+
+
+def covers_by_automaton(codes: np.ndarray, ends: np.ndarray, which: np.ndarray, place: np.ndarray, recurs: np.ndarray, window: int):
+    """Which surroundings hold a recurring passage, and its (first, end) word pairs there.
+
+    Runs of recurring windows are passages; one automaton of all of them reads every
+    surrounding that holds one.
+    """
+    import ahocorasick
+
+    begins = np.append(0, ends[:-1])
+    edge = np.flatnonzero(recurs)
+    new = np.ones(len(edge), bool)
+    new[1:] = (np.diff(edge) > 1) | (which[edge[1:]] != which[edge[:-1]])
+    heads = edge[new]
+    lengths = np.diff(np.append(np.flatnonzero(new), len(edge))) + window - 1
+    _, letters = np.unique(codes, return_inverse=True)
+    letters = letters.tolist()
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for head, length in zip(heads.tolist(), lengths.tolist()):
+        base = int(begins[which[head]] + place[head])
+        automaton.add_word(tuple(letters[base : base + length]), length)
+    automaton.make_automaton()
+    touched = np.unique(which[edge])
+    out = []
+    for k in touched.tolist():
+        own = tuple(letters[begins[k] : ends[k]])
+        spans = [(end + 1 - length, end + 1) for end, length in automaton.iter(own)]
+        out.append(np.array(spans, "<i4").tobytes())
+    return touched, out
+
+
 def located(segments: DataFrame, window: int) -> DataFrame:
     """``segment, covers`` of each distinct surrounding with a recurring passage; covers
-    are (first word, end word) pairs of 32 bits within the surrounding."""
+    are (first word, end word) pairs of 32 bits within the surrounding.
 
-    def run(batches: Batches) -> Batches:
-        import ahocorasick
+    An anchor's surroundings are one shard. Anchors with very many (a common phrase in
+    ever new texts) are told by a bit map, which may pass others too: either way gives
+    the same covers.
+    """
 
+    def shards(batches: Batches) -> Batches:
         for table in runs(batches, "anchor"):
-            segment, uses, anchor = column(table, "segment"), column(table, "uses"), column(table, "anchor")
+            segment, uses = column(table, "segment"), column(table, "uses")
             keys, at, inverse = np.unique(segment, return_index=True, return_inverse=True)
             total = np.bincount(inverse, uses)
             packed = table["codes"].take(pa.array(at)).to_pylist()
-            sizes = np.array([len(x) // CODE_BYTES for x in packed])
-            wide = np.zeros((sizes.sum(), 8), np.uint8)
-            wide[:, :CODE_BYTES] = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, CODE_BYTES)
-            codes = wide.view(np.uint64).ravel()
-            ends = np.cumsum(sizes)
-            # Windows of each surrounding, named by their anchor and words.
-            found = grams(mix(codes), window)
-            counts = sizes - window + 1
-            which = np.repeat(np.arange(len(keys)), counts)
-            place = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-            with np.errstate(over="ignore"):
-                names = mix(found[(ends - sizes)[which] + place] ^ mix(anchor[at].astype(np.int64).view(np.uint64)[which]))
+            codes, ends, which, place, names = window_names(packed, column(table, "anchor")[at], window)
             _, name = np.unique(names, return_inverse=True)
             recurs = np.bincount(name, total[which])[name] >= 2
-            if not recurs.any():
-                continue
-            # Runs of recurring windows are passages.
-            edge = np.flatnonzero(recurs)
-            new = np.ones(len(edge), bool)
-            new[1:] = (np.diff(edge) > 1) | (which[edge[1:]] != which[edge[:-1]])
-            heads = edge[new]
-            lengths = np.diff(np.append(np.flatnonzero(new), len(edge))) + window - 1
-            _, letters = np.unique(codes, return_inverse=True)
-            letters = letters.tolist()
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            for head, length in zip(heads.tolist(), lengths.tolist()):
-                base = int(ends[which[head]] - sizes[which[head]] + place[head])
-                automaton.add_word(tuple(letters[base : base + length]), length)
-            automaton.make_automaton()
-            touched = np.unique(which[edge])
-            out = []
-            for k in touched.tolist():
-                base = int(ends[k] - sizes[k])
-                spans = [(end + 1 - length, end + 1) for end, length in automaton.iter(tuple(letters[base : base + int(sizes[k])]))]
-                out.append(np.array(spans, "<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys[touched]), pa.array(out, pa.binary())], names=["segment", "covers"])
-
-    dealt = segments.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "segment bigint, covers binary")
+            if recurs.any():
+                touched, covers = covers_by_automaton(codes, ends, which, place, recurs, window)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[touched]), pa.array(covers, pa.binary())], names=["segment", "covers"])
+
+    many = segments.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_LIMIT).select("anchor")
+    large = key_filter(written(many, "many"), "anchor")(F.col("anchor"))
+    dealt = segments.where(~large).repartition("anchor").sortWithinPartitions("anchor")
+    return dealt.mapInArrow(shards, "segment bigint, covers binary").union(located_in_large(segments.where(large), window))
+
+
+def located_in_large(segments: DataFrame, window: int) -> DataFrame:
+    """As :func:`located` for anchors with very many surroundings: each window is a row
+    of its own, counted over all tasks; every surrounding then knows which of its windows
+    recur, and any handful of surroundings is a shard."""
+
+    def named(batches: Batches) -> Batches:
+        for batch in batches:
+            if batch.num_rows:
+                _, _, which, place, names = window_names(batch.column(2).to_pylist(), column(batch, "anchor"), window)
+                arrays = [column(batch, "segment")[which], place.astype(np.int32), names.view(np.int64), column(batch, "uses")[which]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays)], names=["segment", "place", "name", "uses"])
+
+    def shards(batches: Batches) -> Batches:
+        for batch in batches:
+            for low in range(0, batch.num_rows, SHARD_LIMIT):
+                part = batch.slice(low, SHARD_LIMIT)
+                codes, ends, which, place, _ = window_names(part.column(2).to_pylist(), column(part, "anchor"), window)
+                at = part.column(3).to_pylist()
+                firsts = np.searchsorted(which, np.arange(part.num_rows))
+                recurs = np.zeros(len(which), bool)
+                recurs[np.concatenate([first + np.array(own) for first, own in zip(firsts, at)])] = True
+                touched, covers = covers_by_automaton(codes, ends, which, place, recurs, window)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(touched)), pa.array(covers, pa.binary())], names=["segment", "covers"])
+
+    once = written(segments.groupBy("segment").agg(F.first("anchor").alias("anchor"), F.first("codes").alias("codes"), F.sum("uses").alias("uses")), "once")
+    windows = once.select("segment", "anchor", "codes", "uses").mapInArrow(named, "segment bigint, place int, name bigint, uses bigint")
+    again = written(windows.groupBy("name").agg(F.sum("uses").alias("n")).where("n > 1").select("name"), "again")
+    places = windows.join(again, "name").groupBy("segment").agg(F.collect_list("place").alias("places"))  # at most window - 7
+    rows = once.join(places, "segment").select("segment", "anchor", "codes", "places")
+    return rows.mapInArrow(shards, "segment bigint, covers binary")
 
 
 def _placed(batches: Batches) -> Batches:

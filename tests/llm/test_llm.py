@@ -309,6 +309,22 @@ def test_repeated_passages_with_null_and_repeated_ids(spark):
     assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got.collect()) == [(0, 201, 200), (0, 220, 200), (1, 40, 40), (1, 40, 40), (1, 50, 0), (2, 0, 0)]
 
 
+def test_common_phrase_in_new_texts_is_dealt_to_shards(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SHARD_LIMIT", 4)
+    phrase, passage = story(12, 30), story(38, 31)
+    texts = [f"{story(40, 100 + k)} {phrase} {story(40, 200 + k)}" for k in range(40)]
+    texts += [f"{passage} {phrase} {story(9, 300 + k)}" for k in range(3)] + [texts[0] + " end"]
+    rows = list(enumerate(texts))
+    count = collections.Counter(tuple(t.split()[i : i + 35]) for t in texts for i in range(len(t.split()) - 34))
+    want = {}
+    for k, text in rows:
+        own = text.split()
+        gone = {j for i in range(len(own) - 34) if count[tuple(own[i : i + 35])] > 1 for j in range(i, i + 35)}
+        want[k] = len(gone)
+    got = substrings.remove_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == want and sum(want.values()) > 200
+
+
 def test_pipeline_stages(spark, hard):
     docs = spark.read.parquet(f"{hard}/documents.parquet")
     columns = docs.columns
