@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsward.llm import block_labels, cover_tree, embed_dup, extraction, lattice, mixing, near_dup, packing, scoring, substrings, toxicity, urls
+from newsward.llm import block_labels, cover_tree, embed_dup, extraction, lattice, mixing, near_dup, packing, quality, scoring, substrings, toxicity, urls
 from newsward.llm.common import crc_of_id, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,43 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_block_labels")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"), block_labels.trained())
+
+
+def _line_sql() -> str:
+    """The rules of a line as DuckDB says them; the marks and phrases are the operator's parameters."""
+    def count(marks: str) -> str:
+        return f"(len(x) - len(translate(x, '{marks}', '')))"
+
+    phrases = "|".join(quality.BOILERPLATE)
+    ended = rf"regexp_matches(x, '{quality.ENDED}')"
+    return f"""(regexp_matches(translate(x, '{quality.UPPER}', '{quality.LOWER}'), '{phrases}')
+      OR ({count(quality.SEPARATORS)} >= 2 AND 4 * {count(quality.SEPARATORS)} >= n) OR (n < 4 AND NOT {ended})
+      OR 10 * {count(quality.SYMBOLS)} > len(regexp_replace(x, '[\\x20\\x09-\\x0D]', '', 'g'))
+      OR (n >= 3 AND (2 * {count('!')} > n OR {count(quality.UPPER)} > {count(quality.LOWER)}))
+      OR (n >= 4 AND NOT regexp_matches(x, '[.!?…]')))"""
+
+
+@query(
+    "op12_line_first_rules",
+    rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+lines AS (SELECT r, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT r, unnest(list_distinct(lines)) AS x FROM w)),
+stay AS (SELECT r, sum(len(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g'))) AS chars FROM lines WHERE NOT {_line_sql()} GROUP BY r),
+windows AS (SELECT r, i, ws[i] AS a, ws[i+1] AS b, ws[i+2] AS c FROM w, range(1, len(ws) - 1) t(i) WHERE len(ws) >= 3),
+twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, a, b, c) > 1),
+covered AS (SELECT r, count(DISTINCT i + j) AS n FROM twice, range(0, 3) t(j) GROUP BY r),
+m AS (SELECT w.r, doc_id, len(ws)::BIGINT AS n_words, len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+  (len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+  coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(stay.chars, 0) AS chars
+  FROM w LEFT JOIN covered ON covered.r = w.r LEFT JOIN stay ON stay.r = w.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (word_chars - chars) <= {quality.MOST_LOST} * word_chars AS kept
+FROM m
+""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.clean(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select("doc_id", *[f"quality.{name}" for name in names])
