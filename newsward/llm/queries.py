@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsward.llm import block_labels, cover_tree, embed_dup, extraction, lattice, mixing, near_dup, packing, quality, scoring, substrings, toxicity, urls
+from newsward.llm import block_labels, cover_tree, embed_dup, extraction, lattice, manifest, mixing, near_dup, packing, quality, scoring, substrings, toxicity, urls
 from newsward.llm.common import crc_of_id, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,3 +228,53 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.clean(read(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judged.select("doc_id", *[f"quality.{name}" for name in names])
+
+
+def _field_sql(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE octet_length(encode({value}::VARCHAR)) || ':' || {value}::VARCHAR END"
+
+
+def _crc_sql(value: str) -> str:
+    """crc32 of an ASCII string, bit by bit."""
+    bit = "list_reduce([xor(a, b)]::BIGINT[] || range(8), lambda s, i: CASE WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END)"
+    return f"xor(4294967295, list_reduce([4294967295]::BIGINT[] || list_transform(string_split({value}, ''), lambda x: ascii(x)::BIGINT), lambda a, b: {bit}))"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_field_sql(text if name == "text" else name) for name in manifest.FIELDS) + ")"
+
+
+@query(
+    "op13_merkle_manifest",
+    rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, {_leaf_sql('text')} AS leaf,
+    CASE WHEN crc32_even THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql('text')} END AS changed
+  FROM (SELECT *, coalesce({_crc_sql('doc_id::VARCHAR')} % 2 = 0, false) AS crc32_even FROM documents)),
+leaves AS (SELECT r, dense_rank() OVER (ORDER BY source IS NOT NULL, source) AS grp,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n, leaf AS node FROM d),
+up AS (SELECT 0 AS level, grp, pos, n, node FROM leaves
+  UNION ALL SELECT level + 1, grp, pos // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY level, grp, pos // 3, n),
+subs AS (SELECT grp, node FROM up WHERE n = 1),
+crown AS (SELECT 0 AS level, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n, node FROM subs
+  UNION ALL SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY pos)) FROM crown WHERE n > 1 GROUP BY level, pos // 3, n),
+tree AS (SELECT level, grp, pos, n, node FROM up UNION ALL SELECT 1000 + level, 0, pos, n, node FROM crown),
+sides AS (SELECT t.level, t.grp, t.pos, coalesce(string_agg(o.node, '' ORDER BY o.pos) FILTER (o.pos < t.pos), '') AS lefts,
+    coalesce(string_agg(o.node, '' ORDER BY o.pos) FILTER (o.pos > t.pos), '') AS rights
+  FROM tree t JOIN tree o ON o.level = t.level AND o.grp = t.grp AND o.pos // 3 = t.pos // 3 WHERE t.n > 1 GROUP BY ALL),
+steps AS (SELECT r, l.grp, 0 AS level, l.grp AS tree_grp, l.pos, d.changed AS node, '' AS proof FROM leaves l JOIN d USING (r)
+  UNION ALL SELECT s.r, s.grp, CASE WHEN e.level IS NULL THEN 1000 ELSE s.level + 1 END, CASE WHEN e.level IS NULL THEN 0 ELSE s.tree_grp END,
+    CASE WHEN e.level IS NULL THEN s.grp - 1 ELSE s.pos // 3 END,
+    CASE WHEN e.level IS NULL THEN s.node ELSE sha256(e.lefts || s.node || e.rights) END, s.proof || coalesce(e.lefts || e.rights, '')
+  FROM steps s LEFT JOIN sides e ON e.level = s.level AND e.grp = s.tree_grp AND e.pos = s.pos WHERE e.level IS NOT NULL OR s.level < 1000),
+ends AS (SELECT r, node, proof FROM steps QUALIFY row_number() OVER (PARTITION BY r ORDER BY level DESC) = 1)
+SELECT d.doc_id, d.leaf, subs.node AS subroot, (SELECT node FROM crown WHERE n = 1) AS root, sha256(proof) AS proof_sha256,
+  ends.node AS folded_root, ends.node = (SELECT node FROM crown WHERE n = 1) AS verified
+FROM d JOIN leaves USING (r) JOIN subs USING (grp) JOIN ends USING (r)
+""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(*manifest.FIELDS)
+    tampered = F.when(crc_of_id() % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    rows = manifest.manifest(docs, tampered)
+    return rows.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
