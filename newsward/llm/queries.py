@@ -192,16 +192,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _line_sql() -> str:
     """The rules of a line as DuckDB says them; the marks and phrases are the operator's parameters."""
-    def count(marks: str) -> str:
-        return f"(len(x) - len(translate(x, '{marks}', '')))"
+    def count(characters) -> str:
+        return f"len(regexp_extract_all(x, '[{''.join(characters)}]'))"
 
-    phrases = "|".join(quality.BOILERPLATE)
-    ended = rf"regexp_matches(x, '{quality.ENDED}')"
-    return f"""(regexp_matches(translate(x, '{quality.UPPER}', '{quality.LOWER}'), '{phrases}')
-      OR ({count(quality.SEPARATORS)} >= 2 AND 4 * {count(quality.SEPARATORS)} >= n) OR (n < 4 AND NOT {ended})
-      OR 10 * {count(quality.SYMBOLS)} > len(regexp_replace(x, '[\\x20\\x09-\\x0D]', '', 'g'))
-      OR (n >= 3 AND (2 * {count('!')} > n OR {count(quality.UPPER)} > {count(quality.LOWER)}))
-      OR (n >= 4 AND NOT regexp_matches(x, '[.!?…]')))"""
+    after = quality.AFTER_MARK.replace("'", "''")
+    marks = ", ".join(f"'{m}'" for m in quality.MARKS)
+    return f"""(regexp_matches(lower(x), '{"|".join(quality.BOILERPLATE)}')
+      OR 24 * {count(quality.SEPARATORS)} >= greatest(len(x), 48)
+      OR (len(x) < {quality.SHORT} AND right(rtrim(x, '{after}'), 1) NOT IN ({marks}))
+      OR 10 * {count(quality.SYMBOLS)} > len(x)
+      OR (len(x) >= {quality.SHORT} AND (12 * {count('!')} > len(x) OR (NOT regexp_matches(x, '[aeiou]') AND regexp_matches(x, '[AEIOU]'))))
+      OR NOT regexp_matches(x, '[{"".join(quality.MARKS)}]'))"""
 
 
 @query(
@@ -210,7 +211,7 @@ def _line_sql() -> str:
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
-lines AS (SELECT r, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT r, unnest(list_distinct(lines)) AS x FROM w)),
+lines AS (SELECT r, unnest(list_distinct(lines)) AS x FROM w),
 stay AS (SELECT r, sum(len(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g'))) AS chars FROM lines WHERE NOT {_line_sql()} GROUP BY r),
 windows AS (SELECT r, i, ws[i] AS a, ws[i+1] AS b, ws[i+2] AS c FROM w, range(1, len(ws) - 1) t(i) WHERE len(ws) >= 3),
 twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, a, b, c) > 1),
