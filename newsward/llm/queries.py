@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsward.llm import block_labels, cover_tree, embed_dup, extraction, lattice, manifest, mixing, near_dup, packing, quality, scoring, substrings, toxicity, urls
+from newsward.llm import block_labels, collocations, cover_tree, embed_dup, extraction, lattice, manifest, mixing, near_dup, packing, quality, scoring, substrings, toxicity, urls
 from newsward.llm.common import crc_of_id, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -279,3 +279,24 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.when(crc_of_id() % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
     rows = manifest.manifest(docs, tampered)
     return rows.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+@query(
+    "op11_quotient_collocations",
+    r"""
+WITH p AS (SELECT row_number() OVER () AS piece, lang, regexp_extract_all(part, '[^\x20\x09]+') AS ws FROM (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS part FROM documents)),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM p GROUP BY lang),
+grams AS MATERIALIZED (SELECT lang, ws[i:i+m-1] AS g, count(*) AS f FROM p, range(1, 5) s(m), range(1, len(ws) + 1) t(i) WHERE i + m - 1 <= len(ws) GROUP BY lang, g HAVING count(*) >= 30),
+halves AS (SELECT lang, g, f AS a, k, g[1:k] AS x, g[k+1:len(g)] AS y FROM grams, range(1, 4) t(k) WHERE k < len(g)),
+cuts AS (SELECT h.*, gx.f AS l, gy.f AS r, ((2000000::HUGEINT * a) // (gx.f::HUGEINT + gy.f))::BIGINT AS score
+  FROM halves h JOIN grams gx ON gx.lang = h.lang AND gx.g = h.x JOIN grams gy ON gy.lang = h.lang AND gy.g = h.y),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+around AS (SELECT lang, g[i:i+m-1] AS g, max(f) AS f FROM grams, range(2, 4) s(m), range(1, 4) t(i) WHERE m < len(g) AND i + m - 1 <= len(g) GROUP BY ALL),
+stay AS (SELECT best.* FROM best LEFT JOIN around USING (lang, g) WHERE NOT coalesce(100::HUGEINT * around.f >= 80::HUGEINT * a, false))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n, score
+FROM stay JOIN totals USING (lang) QUALIFY rank <= 2000
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents").select("lang", "text"))
