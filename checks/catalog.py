@@ -21,7 +21,7 @@ from newsward.operators import filters as P
 from newsward.operators import links as L
 from newsward.operators import outcomes as O
 from newsward.operators import records as X
-from newsward.operators import rules, summary
+from newsward.operators import boundaries, rules, summary
 from newsward.operators.ids import with_ids
 from newsward.plans import jobs
 from newsward.session import scratch_path, spread
@@ -694,6 +694,67 @@ def document_sentences(spark, sf_dir):
     return split_documents(spark, sf_dir)
 
 
+# Every text gets an opening that holds abbreviations, initials and a period after one
+# that does end a sentence.
+OPENING = "Dr. Smith of Acme Inc. said U.S. sales rose. J. Doe of Beta Corp. left. The rest stayed at Acme Inc. The end. "
+ABBREVIATED = f"(SELECT doc_id, '{OPENING}' || text AS text FROM documents)"
+TOKEN_ROWS = rf"""
+tokens AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}.&’\x27-]*') AS ts FROM {ABBREVIATED} AS t),
+apart AS (SELECT lower(regexp_replace(ts[i], '\.$', '')) AS word, ends_with(ts[i], '.') AS period,
+  CASE WHEN i > 1 AND ends_with(ts[i - 1], '.') THEN lower(regexp_replace(ts[i - 1], '\.$', '')) END AS before
+  FROM (SELECT ts, unnest(range(1, len(ts) + 1)) AS i FROM tokens) AS r),
+whole AS (SELECT count(*) AS all_n, least(count(*) FILTER (period) / count(*), 0.999999) AS p FROM apart),
+typed AS (SELECT word, count(*) FILTER (period) AS wp, count(*) FILTER (NOT period) AS wo, length(replace(word, '.', '')) AS letters FROM apart GROUP BY word),
+scored AS (SELECT word, wp, wo, 2 * ((wp * ln(0.99::DOUBLE) + wo * ln(1 - 0.99::DOUBLE)) - (wp * ln(p) + wo * ln(1 - p)))
+  * exp(-letters) * (length(word) - letters + 1) * power(letters::DOUBLE, -wo) AS score FROM typed, whole WHERE wp > 0),
+known AS (SELECT word FROM scored WHERE score >= 0.3),
+starts AS (SELECT word, count(*) AS s FROM apart WHERE before IS NOT NULL AND NOT regexp_matches(before, '^\p{{L}}$')
+  AND before NOT IN (SELECT word FROM known) GROUP BY word),
+rated AS (SELECT starts.word, s::DOUBLE AS s, (wp + wo)::DOUBLE AS n, (SELECT sum(s) FROM starts)::DOUBLE AS b, (SELECT all_n FROM whole)::DOUBLE AS t
+  FROM starts JOIN typed ON typed.word = starts.word),
+terms AS (SELECT word, s, n, [[s, b, n / t], [n - s, t - b, n / t], [s, b, s / b], [n - s, t - b, (n - s) / (t - b)]] AS parts, s / b > n / t AS more FROM rated),
+sums AS (SELECT word, s, n, more, list_transform(parts, lambda q: CASE WHEN q[1] = 0 THEN 0 ELSE q[1] * ln(q[3]) END
+  + CASE WHEN q[1] = q[2] THEN 0 ELSE (q[2] - q[1]) * ln(1 - q[3]) END) AS ls FROM terms),
+openers AS (SELECT word, s, n, CASE WHEN more THEN 2 * (ls[3] + ls[4] - ls[1] - ls[2]) ELSE 0 END AS score FROM sums)"""
+
+
+def abbreviated(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(OPENING), F.col("text")).alias("text"))
+
+
+@check("abbreviation_scores", f"""
+WITH {TOKEN_ROWS}
+SELECT word, wp::BIGINT AS with_period, wo::BIGINT AS without, round(score, 6) + 0.0 AS score FROM scored""")
+def abbreviation_scores(spark, sf_dir):
+    counts = boundaries.token_counts(abbreviated(spark, sf_dir))
+    return boundaries.abbreviation_scores(counts).withColumn("score", F.round("score", 6) + 0.0)
+
+
+@check("starter_scores", f"""
+WITH {TOKEN_ROWS}
+SELECT word, s::BIGINT AS at_start, n::BIGINT AS n, round(score, 4) + 0.0 AS score FROM openers""")
+def starter_scores(spark, sf_dir):
+    learned = boundaries.learn(abbreviated(spark, sf_dir))
+    counts = boundaries.token_counts(abbreviated(spark, sf_dir))
+    return boundaries.starter_scores(counts, learned.abbreviations).withColumn("score", F.round("score", 4) + 0.0)
+
+
+@check("learned_sentences", rf"""
+WITH {TOKEN_ROWS},
+marked AS (SELECT doc_id, string_split(regexp_replace({S.strip_ws('text')}, '([.!?])({S.WS})', '\1' || chr(1) || '\2', 'g'), chr(1)) AS ps FROM {ABBREVIATED} AS t),
+pieces AS (SELECT doc_id, i, ps[i] AS piece, lower(regexp_extract(ps[i], '([\p{{L}}\p{{N}}][\p{{L}}\p{{N}}.&’\x27-]*?)\.$', 1)) AS last,
+  regexp_extract(ps[i + 1], '^{S.WS}+[^\p{{L}}\p{{N}}\s]*(\p{{L}}[\p{{L}}\p{{N}}&’\x27-]*)', 1) AS following
+  FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM marked) AS r),
+ended AS (SELECT *, NOT (regexp_matches(last, '^\p{{L}}$') OR (last <> '' AND last IN (SELECT word FROM known)))
+  OR (following[1] <> lower(following[1]) AND lower(following) IN (SELECT word FROM openers WHERE score >= 30)) AS ends FROM pieces),
+numbered AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nth FROM ended),
+joined AS (SELECT doc_id, nth, {S.strip_ws("string_agg(piece, '' ORDER BY i)")} AS sentence FROM numbered GROUP BY doc_id, nth)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY nth) - 1 AS INTEGER) AS pos, sentence FROM joined WHERE sentence <> ''""")
+def learned_sentences(spark, sf_dir):
+    documents = abbreviated(spark, sf_dir)
+    return summary.split_sentences(spread(documents), boundaries.learn(documents))
+
+
 @check("clean_sentences", f"""
 SELECT doc_id, pos, array_to_string({CLEAN}, ' ') AS clean FROM {SENTENCES} AS s""")
 def clean_sentences(spark, sf_dir):

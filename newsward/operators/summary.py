@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from newsward.functions.text import sentences
 from newsward.lexicons import STOP_WORDS
+from newsward.operators.boundaries import Boundaries, split_learned
 from newsward.operators.skew import dimension_join
 
 # The usual damping of the ranking, and the length of a summary.
@@ -32,8 +33,11 @@ def by_document(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").repartition("doc_id")
 
 
-def split_sentences(documents: DataFrame) -> DataFrame:
-    """(doc_id, pos, sentence) in text order."""
+def split_sentences(documents: DataFrame, learned: Boundaries | None = None) -> DataFrame:
+    """(doc_id, pos, sentence) in text order; by the plain rule of marks and white space,
+    or by boundaries learned from a corpus."""
+    if learned is not None:
+        return split_learned(documents, learned)
     return documents.select(
         "doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence")
     )
@@ -176,8 +180,9 @@ def summarize(
     dim: int,
     k: int = SUMMARY_SENTENCES,
     stop_words: list[str] | None = None,
+    learned: Boundaries | None = None,
 ) -> DataFrame:
     """(doc_id, summary) from whole texts."""
-    split = split_sentences(by_document(documents))
+    split = split_sentences(by_document(documents), learned)
     scores = sentence_rank(sentence_vectors(split, vectors, dim, stop_words))
     return summaries(split, scores, k)
