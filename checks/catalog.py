@@ -180,6 +180,17 @@ def report_table_rows(spark, sf_dir):
     return pages.extract_table_rows(spread(fixture(spark, sf_dir, "tables")))
 
 
+@check("nested_table_rows", """
+SELECT o_orderkey AS page_id, CAST(t AS INTEGER) AS table_no, CAST(i AS INTEGER) AS "index", replace(a, '#', k) AS "Event Date",
+  replace(b, '#', k) AS "Link_text", c AS "Location", replace(d, '#', k) AS "Themes", e AS "Sectors", f AS "Regulator Name"
+FROM (SELECT o_orderkey, o_orderkey::VARCHAR AS k FROM orders) AS o, (VALUES
+  (0, 0, 'D#', '/r/#.pdf', 'x', 'I#', 'second', 'T'), (0, 1, 'x', NULL, NULL, NULL, NULL, NULL), (0, 2, 'I#', '/i/#', NULL, NULL, NULL, NULL),
+  (0, 3, 'second', NULL, NULL, NULL, NULL, NULL), (0, 4, 'last', NULL, NULL, NULL, NULL, NULL),
+  (1, 0, 'I#', '/i/#', NULL, NULL, NULL, NULL), (1, 1, 'second', NULL, NULL, NULL, NULL, NULL)) AS r(t, i, a, b, c, d, e, f)""")
+def nested_table_rows(spark, sf_dir):
+    return pages.extract_table_rows(spread(fixture(spark, sf_dir, "nested_tables")))
+
+
 @check("company_dimension", """
 SELECT CAST(c_custkey AS BIGINT) AS company_key, c_name AS company_name FROM customer""")
 def company_dimension(spark, sf_dir):

@@ -107,6 +107,11 @@ SELECT o_orderkey AS page_id, '<table><tr><th>Event Date</th><th>Report</th></tr
   || '.pdf ">Read</a></td><td>Asia</td><td>Water</td><td>' || o_orderpriority || '</td><td>' || o_orderstatus
   || '</td></tr>' || CASE WHEN o_orderkey % 6 = 0 THEN '<tr><td>short</td></tr>' ELSE '' END || '</table>' AS html
 FROM orders""",
+    "nested_tables": """
+SELECT o_orderkey AS page_id, '<p>no</p><table><tr><th>h</th></tr><tr><td>D' || k || '</td><td><a href="/r/' || k
+  || '.pdf">R</a></td><td>L<TABLE border=0><tr><td>x</td></tr><tr><td>I' || k || '<td><a href=/i/' || k
+  || '>go</a><tr><td>second</table></td><td>T</td><td>S</td></tr><tr><td>last</td></table><ul><li>a<ul><li>b</ul></ul>' AS html
+FROM (SELECT o_orderkey, CAST(o_orderkey AS STRING) AS k FROM orders) AS o""",
     "esg_pages": """
 SELECT url, replace(html, '</article>', CASE page_id % 4
   WHEN 0 THEN '<p>Greenhouse gas EMISSIONS and pollution rise in NATION_3.</p>'

@@ -7,12 +7,12 @@ log-likelihood ratios of counts over the whole corpus. Splitting then reads one
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsward.functions.once import let, part
 from newsward.functions.text import WS, strip_ws
 from newsward.operators.skew import dimension_join
 from newsward.session import stage
@@ -110,11 +110,6 @@ def learn(documents: DataFrame) -> Boundaries:
     return Boundaries(abbreviations, stage(starters.select("word", "score")))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once per row, however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _pieces(text: Column) -> Column:
     """The text cut at every mark followed by white space, which stays before the next piece."""
     return F.split(strip_ws(text), rf"(?<=[.!?])(?={WS})")
@@ -151,13 +146,13 @@ def learned_sentences(text: Column, abbreviations: list[str], starters: list[str
         def joined(places_: Column) -> Column:
             def sentence(end: Column, k: Column) -> Column:
                 start = F.coalesce(F.get(places_, k - 1) + 1, F.lit(0))
-                return strip_ws(F.array_join(F.slice(pieces, start + 1, end - start + 1), ""))
+                return strip_ws(F.array_join(part(pieces, start, end + 1), ""))
 
             return F.transform(places_, sentence)
 
-        return _let(places, joined)
+        return let(places, joined)
 
-    return F.filter(_let(_pieces(text), cut), lambda s: s != "")
+    return F.filter(let(_pieces(text), cut), lambda s: s != "")
 
 
 def _words_in_row(table: DataFrame) -> list[str] | None:

@@ -126,3 +126,25 @@ def test_request_ids_of_files(spark, tmp_path):
     (tmp_path / "found" / "a-b-2.html").write_text("<p>x</p>")
     rows = pages.read_result_pages(spark, str(tmp_path / "found"), "text").collect()
     assert [tuple(r) for r in rows] == [("a-b", 2, "<p>x</p>")]
+
+
+def test_tables_that_are_nested_unclosed_or_odd(spark):
+    def found(html):
+        df = spark.createDataFrame([(1, html)], "page_id bigint, html string")
+        rows = pages.extract_table_rows(df).orderBy("table_no", "index").collect()
+        return [(r["table_no"], r["index"], r["Event Date"], r["Link_text"], r["Location"]) for r in rows]
+
+    assert found("<table><tr><td>h<tr><td>a<td>b") == [(0, 0, "a", None, "b")]
+    assert found("</td></table><TABLE><tr></tr><tr><th>no</th><td>a</td></table></table><td>x</td>") == [(0, 0, "a", None, None)]
+    inner = "<table><tr><td>1</td></tr><tr><td>2</td></tr></table>"
+    nested = f"<table><tr><td>h</td></tr><tr><td>a</td><td>{inner}<a href=/x>y</a></td><td>b</td></tr></table>"
+    assert found(nested) == [(0, 0, "a", "/x", "1"), (0, 1, "1", None, None), (0, 2, "2", None, None), (1, 0, "2", None, None)]
+    assert found("<!-- <table> --><script>'<table><tr><td>1<tr><td>2'</script>") == []
+    for nothing in (None, "", "<table>", "text", "<table></table>"):
+        assert found(nothing) == []
+
+
+def test_a_long_table_takes_time_in_proportion(spark):
+    made = spark.range(1).select(F.lit(1).alias("page_id"), F.expr("'<table><tr><td>h' || repeat('<tr><td>a</td><td><a href=/l>x</a></td></tr>', 20000)").alias("html"))
+    rows = pages.extract_table_rows(made)
+    assert rows.where("`Event Date` = 'a' AND `Link_text` = '/l'").count() == 20000
