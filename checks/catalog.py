@@ -804,13 +804,59 @@ def sentence_similarity(spark, sf_dir):
     return weights.select("doc_id", "pos", (F.round("weight", 4) + 0.0).alias("weight"))
 
 
-@check("sentence_rank")
+# The ranking as it is defined: a matrix of similarities, and rounds until little changes.
+RANKED = f"""
+{WORD_SUMS},
+lists AS (SELECT doc_id, pos, list(x ORDER BY k) AS v FROM vectors GROUP BY doc_id, pos),
+units AS (SELECT doc_id, pos, CASE WHEN list_dot_product(v, v) > 0 THEN list_transform(v, lambda q: q / sqrt(list_dot_product(v, v))) END AS u FROM lists),
+sims AS MATERIALIZED (SELECT a.doc_id, a.pos AS i, b.pos AS j, list_dot_product(a.u, b.u) AS s
+  FROM units a JOIN units b ON a.doc_id = b.doc_id AND a.pos <> b.pos WHERE a.u IS NOT NULL AND b.u IS NOT NULL),
+weights AS (SELECT doc_id, i, sum(s) AS w FROM sims GROUP BY doc_id, i),
+shares AS MATERIALIZED (SELECT sims.doc_id, sims.i, j, s / w AS p FROM sims JOIN weights ON weights.doc_id = sims.doc_id AND weights.i = sims.i WHERE abs(w) > 1e-9),
+loose AS MATERIALIZED (SELECT units.doc_id, pos, count(*) OVER (PARTITION BY units.doc_id) AS n, abs(coalesce(w, 0)) <= 1e-9 AS alone
+  FROM units LEFT JOIN weights ON weights.doc_id = units.doc_id AND weights.i = units.pos),
+rounds AS (
+  SELECT 0 AS round, doc_id, pos, 1.0::DOUBLE / n AS x, 1e9::DOUBLE AS change, n, alone FROM loose
+  UNION ALL
+  SELECT round + 1, doc_id, pos, y, sum(abs(y - x)) OVER (PARTITION BY doc_id), n, alone FROM (
+    SELECT r.round, r.doc_id, r.pos, r.x, r.n, r.alone, 0.85 * (coalesce(g.got, 0) + lone / r.n) + 0.15 / r.n AS y
+    FROM (SELECT *, sum(CASE WHEN alone THEN x ELSE 0 END) OVER (PARTITION BY doc_id) AS lone FROM rounds WHERE change >= n * 1e-6 AND round < 100) AS r
+    LEFT JOIN (SELECT f.doc_id, shares.j, sum(f.x * shares.p) AS got FROM rounds AS f JOIN shares ON shares.doc_id = f.doc_id AND shares.i = f.pos
+      WHERE f.change >= f.n * 1e-6 AND f.round < 100 GROUP BY f.doc_id, shares.j) AS g ON g.doc_id = r.doc_id AND g.j = r.pos) AS step),
+ranked AS (SELECT doc_id, pos, round(CASE WHEN change < n * 1e-6 THEN x ELSE 1 / n END, 12) AS score FROM rounds QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY round DESC) = 1)"""
+
+
+@check("sentence_rank", f"""
+WITH RECURSIVE {RANKED}
+SELECT doc_id, pos, round(score, 6) + 0.0 AS score FROM ranked""")
 def sentence_rank(spark, sf_dir):
     made = summary.sentence_vectors(split_documents(spark, sf_dir), vectors(spark, sf_dir), DIM)
-    return summary.sentence_rank(made).select("doc_id", "pos", F.round("score", 6).alias("score"))
+    return summary.sentence_rank(made).select("doc_id", "pos", (F.round("score", 6) + 0.0).alias("score"))
 
 
-@check("article_summary")
+POSITIVE = f"vocabulary AS (SELECT word, list_transform(embedding, lambda q: abs(q)) AS embedding FROM ({VOCABULARY}) AS own)"
+
+
+@check("sentence_rank_positive", f"""
+WITH RECURSIVE {RANKED.replace(f"vocabulary AS ({VOCABULARY})", POSITIVE)}
+SELECT doc_id, pos, round(score, 6) + 0.0 AS score FROM ranked""")
+def sentence_rank_positive(spark, sf_dir):
+    known = vectors(spark, sf_dir).withColumn("embedding", F.transform("embedding", F.abs))
+    made = summary.sentence_vectors(split_documents(spark, sf_dir), known, DIM)
+    return summary.sentence_rank(made).select("doc_id", "pos", (F.round("score", 6) + 0.0).alias("score"))
+
+
+@check("sentence_rank_solved")
+def sentence_rank_solved(spark, sf_dir):
+    made = summary.sentence_vectors(split_documents(spark, sf_dir), vectors(spark, sf_dir), DIM)
+    return summary.sentence_rank(made, "solve").select("doc_id", "pos", F.round("score", 6).alias("score"))
+
+
+@check("article_summary", f"""
+WITH RECURSIVE {RANKED},
+best AS (SELECT ranked.doc_id, sentence, row_number() OVER (PARTITION BY ranked.doc_id ORDER BY score DESC, sentence DESC, ranked.pos DESC) AS place
+  FROM ranked JOIN {SENTENCES} AS t ON t.doc_id = ranked.doc_id AND t.pos = ranked.pos)
+SELECT doc_id, string_agg(' ' || sentence, '' ORDER BY place) AS summary FROM best WHERE place <= 5 GROUP BY doc_id""")
 def article_summary(spark, sf_dir):
     return summary.summarize(read_table(spark, sf_dir, "documents"), vectors(spark, sf_dir), DIM)
 

@@ -23,6 +23,9 @@ from newsward.operators.skew import dimension_join
 
 # The usual damping of the ranking, and the length of a summary.
 DAMPING = 0.85
+# The rounds end when the scores change by less than this per sentence, or after so many.
+TOLERANCE = 1e-6
+ROUNDS = 100
 SUMMARY_SENTENCES = 5
 
 
@@ -115,8 +118,40 @@ def similarity_weight(vectors: DataFrame, dim: int) -> DataFrame:
     return joined.select("doc_id", "pos", weight.alias("weight"))
 
 
+def _units(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors, which of them are not all zeros, and each one's summed similarity to the others."""
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    u = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
+    own = norms[:, 0] > 0
+    return u, own, u @ u.sum(axis=0) - own
+
+
+def rank_by_rounds(vectors: np.ndarray, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> np.ndarray:
+    """Weighted PageRank over the similarities of one document's sentences, round by round.
+
+    Every sentence hands its score on, shared by similarity, damped by ``DAMPING``; one
+    without similarity to any other shares evenly. A round needs one vector sum, not the matrix of similarities.
+    The rounds end by the usual rule: when all scores together change by less than ``tolerance`` per sentence.
+    Where negative similarities keep ``rounds`` rounds from that, all sentences of the document score alike.
+    """
+    n = len(vectors)
+    u, own, weight = _units(vectors)
+    linked = np.abs(weight) > 1e-9
+    scores = np.full(n, 1 / n)
+    with np.errstate(over="ignore", invalid="ignore"):
+        for _ in range(rounds):
+            share = np.divide(scores, weight, out=np.zeros(n), where=linked)
+            passed = u @ (u.T @ share) - own * share + scores[~linked].sum() / n
+            new = DAMPING * passed + (1 - DAMPING) / n
+            change = np.abs(new - scores).sum()
+            scores = new
+            if change < n * tolerance:
+                return scores
+    return np.full(n, 1 / n)
+
+
 def rank_scores(vectors: np.ndarray) -> np.ndarray:
-    """Weighted PageRank over the similarities of one document's sentences.
+    """The scores that the rounds converge to, solved for directly.
 
     With unit vectors u, weights w and scores x = w * y, the stationary scores obey
     (w + d) y = d u.z + c with z = sum of y u, so one small system in the vector
@@ -126,9 +161,7 @@ def rank_scores(vectors: np.ndarray) -> np.ndarray:
     leave no finite solution, all sentences of the document score alike.
     """
     n = len(vectors)
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    u = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
-    weight = u @ u.sum(axis=0) - (norms[:, 0] > 0)
+    u, _, weight = _units(vectors)
     linked = np.abs(weight) > 1e-9
     constant = (1 - DAMPING) / (n - DAMPING * np.count_nonzero(~linked))
     scores = np.full(n, constant)
@@ -146,14 +179,17 @@ def rank_scores(vectors: np.ndarray) -> np.ndarray:
     return scores if np.isfinite(scores).all() else np.full(n, 1 / n)
 
 
-def sentence_rank(vectors: DataFrame) -> DataFrame:
-    """(doc_id, pos, score). One group is the sentences of one document, whose text
-    was one cell of one row before; the ranking is linear in their number."""
+def sentence_rank(vectors: DataFrame, method: str = "rounds") -> DataFrame:
+    """(doc_id, pos, score), by ``rounds`` with their stop rule or by ``solve``. One group is
+    the sentences of one document, whose text was one cell of one row before; either way the work is
+    linear in their number. Scores are given to 12 decimals, so that sentences that score alike tie."""
+    ranking = {"rounds": rank_by_rounds, "solve": rank_scores}[method]
 
     def run(group: pa.Table) -> pa.Table:
         flat = group.column("vector").combine_chunks().flatten().to_numpy()
         matrix = flat.reshape(group.num_rows, -1).astype(float)
-        return group.select(["doc_id", "pos"]).append_column("score", pa.array(rank_scores(matrix)))
+        scores = np.round(ranking(matrix), 12)
+        return group.select(["doc_id", "pos"]).append_column("score", pa.array(scores))
 
     key = vectors.schema["doc_id"].dataType.simpleString()
     grouped = vectors.select("doc_id", "pos", "vector").groupBy("doc_id")

@@ -118,3 +118,26 @@ def test_ranks_are_finite_for_negative_similarities():
     assert np.allclose(rank_scores(pair), 0.5)
     rng = np.random.default_rng(0)
     assert all(np.isfinite(rank_scores(rng.standard_normal((n, 3)))).all() for n in range(1, 60))
+
+
+def test_rounds_end_where_the_matrix_says():
+    """Beside the same rounds over the whole matrix of similarities."""
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 7, 60):
+        made = np.abs(rng.standard_normal((n, 6)))
+        made[n // 2 :: 3] = 0
+        norms = np.linalg.norm(made, axis=1)
+        unit = np.divide(made, norms[:, None], out=np.zeros_like(made), where=norms[:, None] > 0)
+        matrix = unit @ unit.T
+        np.fill_diagonal(matrix, 0)
+        sums = matrix.sum(1)
+        x = np.full(n, 1 / n)
+        for _ in range(100):
+            y = 0.85 * (np.divide(x, sums, out=np.zeros(n), where=sums > 1e-9) @ matrix + x[sums <= 1e-9].sum() / n) + 0.15 / n
+            change, x = np.abs(y - x).sum(), y
+            if change < n * 1e-6:
+                break
+        assert np.allclose(summary.rank_by_rounds(made), x, atol=1e-12)
+        assert np.allclose(summary.rank_by_rounds(made, 1e-15), summary.rank_scores(made), atol=1e-9)
+    against = np.array([[1.0, 0.1], [-1.0, 0.1], [1.0, -0.1], [0.2, -1.0]])
+    assert np.allclose(summary.rank_by_rounds(against, 1e-15, 3), 0.25)
