@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsward import lexicons
-from newsward.functions.once import compute_once
+from newsward.functions.once import compute_once, part
 from newsward.functions.text import fold, published_date, sentences, words
 from newsward.operators.skew import dimension_join
 from newsward.session import stage
@@ -69,19 +69,55 @@ def found_terms(hits: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["term"])))
 
 
+# The set of term hashes has this many places a term, one byte each, and at most 4 MB.
+PLACES_A_TERM = 64
+MOST_PLACES = 1 << 22
+
+
+def _hashed_set(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test in the row that passes every string of ``keys(key)`` and few others.
+
+    The set stands in the expression as bytes of bounded size. With more keys than it
+    serves well it passes more, never fewer, and the join that follows is exact.
+    """
+    count = keys.count()
+    size = min(MOST_PLACES, 1 << max(16, (PLACES_A_TERM * count).bit_length()))
+    place = F.pmod(F.xxhash64("key"), F.lit(size))
+    table = bytearray(size)
+    for batch in keys.select(place.alias("place")).distinct().toArrow().to_batches():  # at most ``size`` numbers
+        for at in batch.column(0).to_pylist():
+            table[at] = 1
+    held = F.lit(bytes(table))
+    return lambda key: F.substring(held, (F.pmod(F.xxhash64(key), F.lit(size)) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
+
+
+def term_places(articles: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, at, term): word places where one of ``terms(term)`` may stand, and hardly any other.
+
+    A word is looked at further if it can start a term; then the words from there on, as many as
+    some term has, must be a whole term. Both are asked in the row, before any row arises.
+    """
+    parts = F.split("term", " ")
+    lengths = [r["n"] for r in terms.select(F.size(parts).alias("n")).distinct().orderBy("n").collect()]  # one per length
+    starts = terms.select(F.concat(F.lit("starts "), parts[0]).alias("key")).distinct()
+    holds = _hashed_set(starts.union(terms.select(F.concat(F.lit("is "), F.col("term")).alias("key"))))
+    spelled = compute_once(articles.select("doc_id", "text"), "word_list", words(F.col("text"))).drop("text")
+    word_list = F.col("word_list")
+    begins = F.filter(F.sequence(F.lit(0), F.size(word_list) - 1), lambda i: holds(F.concat(F.lit("starts "), F.get(word_list, i))))
+
+    def at(i: Column) -> Column:
+        spots = [F.when(i + n <= F.size(word_list), F.struct(i.alias("at"), F.array_join(part(word_list, i, i + n), " ").alias("term"))) for n in lengths]
+        return F.filter(F.array(*spots), lambda s: s.isNotNull() & holds(F.concat(F.lit("is "), s["term"])))
+
+    return spelled.select("doc_id", F.explode(F.flatten(F.transform(begins, at))).alias("spot")).select("doc_id", "spot.*")
+
+
 def join_hits(articles: DataFrame, terms: DataFrame, column: str) -> DataFrame:
-    """(doc_id, at, term) by a join on the first word, for a dictionary of any size."""
-    starts = folded_terms(terms, column).select(
-        "term", F.split("term", " ").alias("parts"), F.split("term", " ")[0].alias("word")
-    )
-    # A word takes along only as many words as the longest term has.
-    longest = starts.agg(F.max(F.size("parts"))).first()[0] or 1
-    spelled = articles.select("doc_id", words(F.col("text")).alias("word_list"))
-    around = F.transform("word_list", lambda w, i: F.struct(i.alias("at"), w.alias("word"), F.slice("word_list", i + 1, longest).alias("near")))
-    placed = spelled.select("doc_id", F.explode(around).alias("spot")).select("doc_id", "spot.*")
-    fits = F.slice("near", F.lit(1), F.size("parts")) == F.col("parts")
-    joined = dimension_join(placed, starts, "word", "inner", ["doc_id", "at"])
-    return joined.where(fits).select("doc_id", "at", "term")
+    """(doc_id, at, term) by a join on whole terms, for a dictionary of any size."""
+    known = stage(folded_terms(terms, column))
+    if known.isEmpty():
+        return articles.select("doc_id", F.lit(0).alias("at"), F.lit("").alias("term")).where("false")
+    return dimension_join(term_places(articles, known), known, "term", "inner", ["doc_id", "at"])
 
 
 def match_keywords(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -239,29 +275,43 @@ def rule_replies(tags: DataFrame) -> DataFrame:
     return compute_once(tags, "reply", reply).select(*keys, "reply")
 
 
-def classify(articles: DataFrame, classifier: Callable[[list[str]], list[str]]) -> DataFrame:
+def classify(
+    articles: DataFrame, classifier: Callable[[list[str]], list[str]], batch_bytes: int = 1 << 22
+) -> DataFrame:
     """Add ``reply`` and ``error`` from a Python function over batches of texts.
 
-    A batch that fails is tried again text by text, so an error marks its own row
-    and the others go on. Batches follow ``spark.sql.execution.arrow.maxRecordsPerBatch``.
+    A batch that fails is cut in halves, each tried again, down to the texts that fail by
+    themselves: one bad text among n costs some 2 log2 n calls, and an error marks its own row.
+    A batch given to the function holds at most ``batch_bytes`` of text, or one text.
     """
 
-    def one(text: str) -> tuple[str | None, str | None]:
+    def answered(texts: list[str]) -> list[tuple[str | None, str | None]]:
         try:
-            return classifier([text])[0], None
+            replies = classifier(texts)
+            if len(replies) != len(texts):
+                raise ValueError("the classifier must return one reply per text")
+            return [(reply, None) for reply in replies]
         except Exception as error:
-            return None, f"{type(error).__name__}: {error}"
+            if len(texts) == 1:
+                return [(None, f"{type(error).__name__}: {error}")]
+        middle = len(texts) // 2
+        return answered(texts[:middle]) + answered(texts[middle:])
+
+    def bounded(texts: list[str]) -> Iterator[list[str]]:
+        held, size = [], 0
+        for text in texts:
+            own = len(text.encode("utf-8", "surrogatepass")) if text is not None else 0
+            if held and size + own > batch_bytes:
+                yield held
+                held, size = [], 0
+            held.append(text)
+            size += own
+        if held:
+            yield held
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch.pop("text").tolist()
-            try:
-                replies = classifier(texts)
-                if len(replies) != len(texts):
-                    raise ValueError("the classifier must return one reply per text")
-                pairs = [(reply, None) for reply in replies]
-            except Exception:
-                pairs = [one(text) for text in texts]
+            pairs = [pair for texts in bounded(batch.pop("text").tolist()) for pair in answered(texts)]
             batch["reply"] = [reply for reply, _ in pairs]
             batch["error"] = [error for _, error in pairs]
             yield batch

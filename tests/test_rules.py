@@ -91,3 +91,38 @@ def test_tags_do_not_depend_on_the_dictionary_limit(spark, monkeypatch):
     small = tags(), hits(), named()
     monkeypatch.setattr(rules, "DICTIONARY_LIMIT", 1)
     assert (tags(), hits(), named()) == small
+
+
+def test_only_whole_terms_leave_the_row(spark):
+    terms = spark.createDataFrame([(f"t{k} end{k % 7}" if k % 2 else f"t{k}",) for k in range(20000)], "keyword string")
+    texts = [" ".join(f"t{(d * 31 + k * 17) % 40000} end{k % 9} x{k}" for k in range(200)) for d in range(40)]
+    articles = spark.createDataFrame([*enumerate(texts), (99, None), (98, "")], "doc_id bigint, text string")
+    found = {(r["doc_id"], r["at"], r["term"]) for r in rules.join_hits(articles, terms, "keyword").collect()}
+    known = {r["keyword"] for r in terms.collect()}
+    want = set()
+    for d, text in enumerate(texts):
+        parts = text.split(" ")
+        for n in (1, 2):
+            want |= {(d, k, " ".join(parts[k : k + n])) for k in range(len(parts) - n + 1) if " ".join(parts[k : k + n]) in known}
+    assert found == want
+    places = rules.term_places(articles, rules.folded_terms(terms, "keyword")).count()
+    assert len(want) <= places <= 1.1 * len(want)
+    assert rules.join_hits(articles, terms.where("false"), "keyword").count() == 0
+
+
+def test_one_bad_text_costs_few_calls(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def picky(texts):
+        calls.add(1)
+        if any(t == "bad" for t in texts):
+            raise ValueError("bad text")
+        return [t.upper() for t in texts]
+
+    rows = [(k, "bad" if k == 700 else f"t{k}") for k in range(1000)]
+    made = rules.classify(spark.createDataFrame(rows, "doc_id int, text string").coalesce(1), picky).collect()
+    assert [(r["doc_id"], r["reply"], r["error"]) for r in made if r["error"]] == [(700, None, "ValueError: bad text")]
+    assert sum(r["reply"] == f"T{r['doc_id']}" for r in made) == 999
+    assert calls.value <= 1 + 2 * 10
+    sizes = rules.classify(spark.createDataFrame(rows[:9], "doc_id int, text string").coalesce(1), lambda ts: [str(len(ts))] * len(ts), batch_bytes=4)
+    assert {r["reply"] for r in sizes.collect()} == {"2", "1"}
