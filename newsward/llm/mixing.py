@@ -56,13 +56,14 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
 
 def fair_queue(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
-    """``docs(doc_id, row_no, source, size)`` with ``source_size``, ``target`` and ``taken``.
-
-    Each source's documents are shuffled by a hash and laid end to end, epoch after
-    epoch. A document's virtual finish time is the words of its source up to its end,
-    divided by the target. All items sorted by that time are served until the total
-    budget is spent, which is time 1 for every source: items that finish by then are
-    taken whole, the one being served is cut there. A source of no words has target 0
+    """``docs(doc_id, row_no, source, size)`` with ``source_size``, ``target``, ``taken``
+    and ``parts``, the words taken in each epoch.
+
+    Each source's documents are shuffled by a hash and stand in line, epoch after epoch;
+    each document is one item per epoch. An item's virtual finish time is the words of its source
+    up to its end, divided by the source's target. All items are sorted by that time over all sources and
+    served in this order until the total budget is spent; the item being served then is cut.
+    Equal times go by source, then by place in line. A source of no words has target 0
     and takes nothing. Null sources form a source of their own. Rows of equal ids are
     separate documents, told apart by ``row_no``. Whole numbers of words; the same input gives the same result.
     """
@@ -71,20 +72,22 @@ def fair_queue(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = S
     placed = running_total(shuffled, ["no_source", "source", "turn", "row_no"], "size", "words_before")
     per_source = targets(docs, weights, share, most)
     starts = placed.groupBy("source").agg(F.min("words_before").alias("source_start"))
-    per_source = per_source.alias("t").join(starts.alias("s"), F.expr("t.source <=> s.source")).select("t.*", "s.source_start")
-    joined = placed.alias("d").join(per_source.alias("t"), F.expr("d.source <=> t.source"))
+    per_source = written(per_source.alias("t").join(starts.alias("s"), F.expr("t.source <=> s.source")).select("t.*", "s.source_start"), "targets")
+    lined = placed.alias("d").join(per_source.alias("t"), F.expr("d.source <=> t.source"))
     before = F.col("words_before") - F.col("source_start")
-    served = F.round("target").cast("bigint")
-    # Epoch e starts e source sizes later; what is served of it by virtual time 1:
-    parts = [
-        F.least(F.greatest(served - (before + F.col("source_size") * e), F.lit(0)), F.col("size")) for e in range(int(most))
-    ]
-    taken = sum(parts[1:], parts[0])
-    finish = F.when(F.col("target") > 0, (before + F.col("size")) / F.col("target"))
-    return joined.select(
-        *[F.col("d." + c) for c in docs.columns],
-        F.col("source_size"), F.col("target"), taken.alias("taken"), F.array(*parts).alias("parts"), finish.alias("finish_time"),
-    )
+    lined = lined.select("d.row_no", "d.size", "d.no_source", F.col("d.source").alias("source"), before.alias("before"), "t.source_size", "t.target")
+    epochs = F.sequence(F.lit(0), F.lit(int(most) - 1))
+    items = lined.where("target > 0 AND size > 0").select("*", F.explode(epochs).alias("epoch"))
+    end = F.col("before") + F.col("size") + F.col("epoch") * F.col("source_size")
+    items = items.select("row_no", "epoch", "size", "no_source", "source", end.alias("end"), (end / F.col("target")).alias("finish_time"))
+    queue = running_total(items, ["finish_time", "no_source", "source", "end"], "size", "served_before")
+    budget = int(docs.agg(F.sum("size")).first()[0] or 0)
+    budget = F.lit(int(min(share, most) * budget + 0.5))
+    served = queue.withColumn("part", F.least(F.col("size"), F.greatest(budget - F.col("served_before"), F.lit(0))))
+    taken = served.where("part > 0").groupBy("row_no").agg(F.sum("part").alias("taken"), F.collect_list("part").alias("parts"))
+    whole = docs.alias("d").join(per_source.alias("t"), F.expr("d.source <=> t.source")).select("d.*", "t.source_size", "t.target")
+    joined = whole.join(taken, "row_no", "left")
+    return joined.select(*docs.columns, "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("parts", F.array().cast("array<bigint>")).alias("parts"))
 
 
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -96,7 +99,7 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every row of ``docs``."""
     narrow = sized(docs.select("doc_id", "source", "text")).select("doc_id", F.col("source").cast("string").alias("source"), "size")
     numbered = written(narrow.withColumn("row_no", F.monotonically_increasing_id()), "mix")
-    return fair_queue(numbered, seed).select("doc_id", "size", "source_size", "target", "taken", "finish_time")
+    return fair_queue(numbered, seed).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def first_words(text: pa.Array, counts: pa.Array) -> pa.Array:

@@ -82,11 +82,13 @@ filled AS (SELECT *, 2.0::DOUBLE * source_size AS "limit",
 rates AS (SELECT *, (1.5::DOUBLE * all_size::DOUBLE - 2.0::DOUBLE * size_before::DOUBLE) / (all_weight - weight_before)::DOUBLE AS rate FROM filled),
 opened AS (SELECT arg_min(rate, (source_size::DOUBLE / w, place)) AS rate FROM rates WHERE rate * w <= "limit"),
 goals AS (SELECT source, source_size, least("limit", coalesce(opened.rate * w, "limit")) AS target FROM rates, opened),
-queued AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('0:' || coalesce(doc_id::VARCHAR, '-') || ':' || size)
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM sizes)
-SELECT doc_id, size, source_size, target,
-  CAST(least(greatest(round(target)::BIGINT - before, 0), size) + least(greatest(round(target)::BIGINT - before - source_size, 0), size) AS BIGINT) AS taken
-FROM queued JOIN goals ON queued.source IS NOT DISTINCT FROM goals.source
+lined AS (SELECT row_number() OVER () AS r, doc_id, size, sizes.source, source_size, target, sum(size) OVER (PARTITION BY sizes.source
+  ORDER BY md5('0:' || coalesce(doc_id::VARCHAR, '-') || ':' || size) ROWS UNBOUNDED PRECEDING) AS through
+  FROM sizes JOIN goals ON sizes.source IS NOT DISTINCT FROM goals.source),
+items AS (SELECT *, (through + epoch * source_size)::DOUBLE / target AS finish FROM lined, range(0, 2) e(epoch) WHERE target > 0 AND size > 0),
+queue AS (SELECT *, coalesce(sum(size) OVER (ORDER BY finish, source IS NULL, source, through + epoch * source_size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM items),
+served AS (SELECT r, sum(least(size, greatest((SELECT round(1.5::DOUBLE * sum(size)::DOUBLE) FROM sizes)::BIGINT - before, 0))) AS taken FROM queue GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM lined LEFT JOIN served USING (r)
 """,
 )
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

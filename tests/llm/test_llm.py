@@ -201,7 +201,6 @@ def test_packing_round_trip(spark, hard):
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
     texts = [*TEXTS, "<|endoftext|> ​　 tab\t\t\r\n  it's 12345 日本語 🎉"]
     rows = [(k, t) for k, t in enumerate(texts)] + [(5, texts[5]), (None, "no id")]
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), 64).collect()
@@ -225,6 +224,43 @@ def test_packing_round_trip(spark, hard):
         assert end == 64 or number == len(sequences) - 1
 
 
+def test_ids_are_those_of_the_named_file(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    given = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    rng = np.random.default_rng(2)
+    parts = [" ", "  ", "\n", "\t", "\u00a0", "\u3000", "\u2003", "\x85", "\x1c", "a", "é", "Straße", "日本", "<|endoftext|>", "<|endoftext|", "it's", "'ll", "1", ".", "😀", "\x00", "   "]
+    odd = ["".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(0, 14))) for _ in range(5000)]
+    monkeypatch.setattr(packing, "REMEMBERED", 20000)
+    known = packing.Segments()
+    for texts in (given, odd, [None, "", "x<|endoftext|>"]):
+        ids, edges = packing.encoded(pa.array(texts, pa.string()), known)
+        want = reference.encode_batch([t or "" for t in texts], add_special_tokens=False)
+        assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:])] == [x.ids for x in want]
+    assert ids.tolist()[-2:] == [87, 50256]
+
+
+def test_packing_round_trip_on_given_documents(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    pieces = collections.defaultdict(list)
+    for row in packing.pack(docs).collect():
+        pieces[row.doc_id].append(row)
+    rows = docs.collect()
+    for row, found in zip(rows, reference.encode_batch([r.text or "" for r in rows], add_special_tokens=False)):
+        ids, end = [*found.ids, 0], 0
+        for piece in sorted(pieces[row.doc_id], key=lambda p: p.start):
+            assert piece.start == end and piece.doc_tokens == len(ids)
+            end += piece.length
+            assert zlib.crc32(np.array(ids[piece.start : end], "<u4").tobytes()) == piece.ids_crc32
+        assert end == len(ids)
+
+
 def test_hilbert_curve_steps_to_neighbours():
     for dims, bits in ((2, 3), (3, 2)):
         axes = np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij")
