@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsward.llm.common import Batches, column, components, in_slices, key_filter, runs, text_key, written
@@ -19,10 +19,12 @@ from newsward.session import stage
 SIMILARITY = 80  # percent
 COORDINATES = 64
 TREES = 16
-DEPTH = 4
+DEPTH = 12
 NODE_LIMIT = 512
-# Of a node that stays large, about this many documents are compared with all of it.
-PIVOTS = 64
+# Each document of a larger node is compared with this many of its documents first.
+PIVOTS = 8
+# Sketches that agree in this share with a pivot's stand for copies of it: they branch no further there.
+ALIKE = 0.8
 # Sketches that agree in this share are candidates: 3.6 standard deviations below 0.8.
 LOOSE = 0.62
 SEED = 11
@@ -73,7 +75,8 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
 
 def chosen(paths: np.ndarray) -> np.ndarray:
     """Which coordinates each node branches by: every one with the chance
-    1 / (similarity * COORDINATES), as in the chosen-path tree, at least one."""
+    1 / (similarity * COORDINATES), as in the chosen-path tree, at least one, so that
+    deep levels lose no more pairs than the first. Copies have left a node before it branches."""
     with np.errstate(over="ignore"):
         lots = mix(paths[:, None] * np.uint64(COORDINATES) + np.arange(COORDINATES, dtype=np.uint64))
     mark = lots < np.uint64(int(2**64 / (SIMILARITY / 100 * COORDINATES)))
@@ -121,28 +124,87 @@ def counted(rows: DataFrame) -> DataFrame:
     return rows.join(written(counts, "counts"), "path")
 
 
-def tree_nodes(sets: DataFrame) -> DataFrame:
-    """``path, node, members`` of the leaves of all trees."""
+def _lot() -> Column:
+    """A number from 0 to 1 for a document of a node, the same in every run."""
+    return F.pmod(F.xxhash64("path", "node", F.lit(SEED)), F.lit(1 << 40)) / float(1 << 40)
+
+
+def _beside_pivots(batches: Batches) -> Batches:
+    need = np.array([LOOSE, ALIKE]) * COORDINATES
+    for batch in batches:
+        node, own = column(batch, "node"), batch.column(batch.schema.get_field_index("sketch"))
+        sketch = np.frombuffer(b"".join(own.to_pylist()), np.uint8).reshape(batch.num_rows, COORDINATES)
+        lists = batch.column(batch.schema.get_field_index("pivots"))
+        counts = np.diff(lists.offsets.to_numpy())
+        pivots = lists.flatten()
+        pivot_node = pivots.field("node").to_numpy()
+        pivot_sketch = np.frombuffer(b"".join(pivots.field("sketch").to_pylist()), np.uint8).reshape(len(pivots), COORDINATES)
+        row = np.repeat(np.arange(batch.num_rows), counts)
+        same = np.empty(len(row), np.int64)
+        for low in range(0, len(row), 1 << 16):
+            part = slice(low, low + (1 << 16))
+            same[part] = (sketch[row[part]] == pivot_sketch[part]).sum(1)
+        other = pivot_node != node[row]
+        linked = other & (same >= need[0])
+        # A document leaves for a pivot of smaller number only, so that of pivots alike one stays.
+        leaves = np.zeros(batch.num_rows, bool)
+        is_pivot = np.zeros(batch.num_rows, bool)
+        is_pivot[row[~other]] = True
+        leaves[row[(same >= need[1]) & other & (~is_pivot[row] | (pivot_node < node[row]))]] = True
+        many = np.bincount(row[linked], minlength=batch.num_rows)
+        links = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)), pa.int32()), pa.array(pivot_node[linked]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array(~leaves), links], names=["path", "node", "stays", "links"])
+
+
+def eased(large: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``path, node, stays, links`` of the documents of large nodes, beside some pivots of
+    their node, about ``PIVOTS`` each.
+
+    ``links`` are pivots that look similar. A copy of a pivot is in its loose component now, and
+    that is compared whole later; it needs no place further down this tree, where the pivot stands for it.
+    """
+    lots = large.where(_lot() < F.lit(PIVOTS) / F.col("members")).join(sketches, "node")
+    pivots = written(lots.groupBy("path").agg(F.collect_list(F.struct("node", "sketch")).alias("pivots")), "pivots")
+    beside = large.select("path", "node").join(sketches, "node").join(pivots, "path", "left")
+    rows = beside.select("path", "node", "sketch", F.coalesce("pivots", F.array().cast("array<struct<node:bigint,sketch:binary>>")).alias("pivots"))
+    return stage(rows.mapInArrow(_beside_pivots, "path bigint, node bigint, stays boolean, links array<bigint>"))
+
+
+def tree_nodes(sets: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``path, node, members`` of the leaves of all trees, and edges ``src, dst`` found on the way.
+
+    A node of more than ``NODE_LIMIT`` documents first loses the copies of its pivots; what
+    stays large then branches on.
+    """
     level = stage(counted(sets.select("node", "sig").mapInArrow(_roots, "path bigint, node bigint")))
     leaves = level.where(F.col("members") <= NODE_LIMIT)
+    edges = level.select(F.col("node").alias("src"), F.col("node").alias("dst")).where("false")
     for depth in range(1, DEPTH + 1):
         large = level.where(F.col("members") > NODE_LIMIT)
-        if depth == DEPTH or not large.take(1):
-            return leaves.union(large)
+        if not large.take(1):
+            break
+        told = eased(large, sketches)
+        edges = edges.union(told.select(F.col("node").alias("src"), F.explode("links").alias("dst")))
+        left = stage(counted(told.where("stays").select("path", "node")))
+        leaves = leaves.union(left.where(F.col("members") <= NODE_LIMIT))
+        large = left.where(F.col("members") > NODE_LIMIT)
+        if depth == DEPTH:
+            leaves = leaves.union(large)
+            break
         grown = large.join(sets.select("node", "sig"), "node").select("path", "node", "sig")
         level = stage(counted(grown.mapInArrow(_branch, "path bigint, node bigint")))
         leaves = leaves.union(level.where(F.col("members") <= NODE_LIMIT))
+    return leaves, edges
 
 
 def groups(leaves: DataFrame) -> DataFrame:
-    """``group_key, node``: a leaf is a group; one that is still large (many documents
-    alike in all that was chosen) is dealt to parts, and some pivots go to all parts."""
+    """``group_key, node``: a leaf is a group. One that is still large is dealt to parts and
+    every two parts are a group, so that all its documents are compared, over many tasks."""
     parts = F.ceil(F.col("members") / NODE_LIMIT)
-    lot = F.pmod(F.xxhash64("path", "node", F.lit(SEED)), F.lit(1 << 40)) / float(1 << 40)
-    pivot = (F.col("members") > NODE_LIMIT) & (lot < F.lit(PIVOTS) / F.col("members"))
-    own = F.array(F.pmod(F.xxhash64("node"), parts))
-    part = F.explode(F.when(pivot, F.sequence(F.lit(0).cast("bigint"), parts - 1)).otherwise(own))
-    return leaves.select("path", "node", part.alias("part")).select(F.xxhash64("path", "part").alias("group_key"), "node")
+    own = F.pmod(F.xxhash64("node"), parts)
+    dealt = leaves.select("path", "node", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("other"))
+    key = F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other"))
+    return dealt.select(key.alias("group_key"), "node")
 
 
 def least_label(links: np.ndarray) -> np.ndarray:
@@ -234,7 +296,7 @@ def _by_group(rows: DataFrame, compare) -> DataFrame:
 
 def full_sets(docs: DataFrame, rows: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """``root, node, shingles`` of the sets in loose components, once each."""
-    holders = rows.join(members, "node").groupBy("node", "root").agg(F.min("doc_key").alias("doc_key"))
+    holders = rows.where("node is not null").groupBy("node").agg(F.min("doc_key").alias("doc_key")).join(members, "node")
     holders = written(holders, "holders")
     passes = key_filter(holders.select("doc_key"), "doc_key")
     texts = docs.select(text_key(), "text").where(passes(F.col("doc_key"))).join(holders, "doc_key")
@@ -293,8 +355,9 @@ def classes_of(docs: DataFrame, size: int) -> DataFrame:
     rows = written(signed(docs, size), "signed")
     sets = stage(rows.where("node is not null").groupBy("node").agg(F.first("sig").alias("sig")))
     sketch = F.arrow_udf(_sketches, "binary")
-    grouped = groups(tree_nodes(sets)).join(sets.select("node", sketch("sig").alias("sketch")), "node")
-    loose = components(_by_group(grouped, _compare_sketches))
+    sketches = sets.select("node", sketch("sig").alias("sketch"))
+    leaves, edges = tree_nodes(sets, sketches)
+    loose = components(_by_group(groups(leaves).join(sketches, "node"), _compare_sketches).union(edges))
     members = stage(loose.select("node", "root"))
     edges = confirmed_edges(full_sets(docs, rows, members, size), members)
     links = components(edges).withColumnRenamed("root", "linked")

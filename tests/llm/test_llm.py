@@ -314,6 +314,26 @@ def test_large_component_is_found_whole(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(label))
 
 
+def test_large_leaf_of_texts_that_share_boilerplate(spark):
+    """5,000 short texts with one shingle in common and 600 near copies among them."""
+    rng = np.random.default_rng(8)
+    texts = [["all", "rights", "reserved", "here", *("w%d" % x for x in rng.integers(0, 3000, 12))] for _ in range(5000)]
+    texts += [[*texts[k * 7][:-1], "z%d" % k] for k in range(600)]
+    sets = [{tuple(t[i : i + 4]) for i in range(len(t) - 3)} for t in texts]
+    held = collections.defaultdict(list)
+    for k, own in enumerate(sets):
+        for shingle in own - {("all", "rights", "reserved", "here")}:
+            held[shingle].append(k)
+    label = list(range(len(texts)))
+    pairs = {(a, b) for ids in held.values() for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    for a, b in sorted(pairs):
+        label[b] = min(label[b], label[a])
+    assert len(pairs) >= 600
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(label))
+
+
 def test_vector_recall_against_brute_force(spark):
     rng = np.random.default_rng(4)
     centers = rng.standard_normal((300, 32))
