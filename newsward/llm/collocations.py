@@ -83,7 +83,7 @@ def tokens(docs: DataFrame) -> DataFrame:
         ]
         return pa.RecordBatch.from_arrays(arrays, names=["langs", "words", "counts", "codes"])
 
-    return docs.mapInArrow(in_slices(count, docs.columns[1]), TOKENS)
+    return docs.mapInArrow(in_slices(count, docs.columns[1], 4 << 20), TOKENS)
 
 
 def vocabulary(blocks: DataFrame, least: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+# Bytes of an Arrow batch while a table is written, and of text worked on at a time.
+BATCH_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bound the Arrow batches of a job by bytes, as rows may hold long texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a large intermediate table once to the shared folder and read it back."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -155,8 +174,9 @@ def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-def in_slices(work: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str, most_bytes: int = 4 << 20):
-    """A mapInArrow function that hands ``work`` a few MB of text at a time."""
+def in_slices(work: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str, most_bytes: int = SLICE_BYTES):
+    """A mapInArrow function that hands ``work`` about a MB of text at a time and gives
+    memory back after each batch, as a worker serves many stages."""
     from newsward.llm.words import slices
 
     def run(batches: Batches) -> Batches:
@@ -166,5 +186,7 @@ def in_slices(work: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str
                 out = work(batch.slice(low, high - low))
                 if out is not None and out.num_rows:
                     yield out
+            del batch
+            pa.default_memory_pool().release_unused()
 
     return run

@@ -22,6 +22,8 @@ WINDOW = 35
 ANCHOR_WORDS = 8
 # Bytes that stand for a word in a shard.
 CODE_BYTES = 5
+# Windows of a long text worked on at a time.
+PIECE = 1 << 14
 # An anchor with more surroundings is confirmed window by window and dealt to many shards.
 SHARD_LIMIT = 512
 
@@ -45,7 +47,9 @@ def owners(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     if len(found) < wide:
         return found, np.zeros(0, np.int64)
     view = np.lib.stride_tricks.sliding_window_view(found, wide)
-    return found, view.argmin(1) + np.arange(len(view))
+    # In pieces: the least of each window is sought in a copy of them all.
+    least = [view[at : at + PIECE].argmin(1) for at in range(0, len(view), PIECE)]
+    return found, np.concatenate(least) + np.arange(len(view))
 
 
 def anchors(docs: DataFrame, window: int) -> DataFrame:

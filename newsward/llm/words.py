@@ -15,7 +15,7 @@ import pyarrow as pa
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 # Bytes hashed at a time: bounds the memory of the intermediate arrays (about 60 bytes each).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 # A text that this pattern finds something in has words.
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -127,7 +127,7 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
         return mix(total)
 
 
-def slices(column: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most_bytes`` of text each; a longer row stands alone."""
     _, offsets = flat(column)
     row, count = 0, len(offsets) - 1
