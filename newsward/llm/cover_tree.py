@@ -17,6 +17,8 @@ QUERY_STEP = 50
 # Vectors per tree; trees are pairs of one query tree and one index tree at a time.
 TREE_ROWS = 4096
 LEAF_ROWS = 64
+# Few queries make a small ball, which is what can be pruned against.
+QUERY_LEAF_ROWS = 8
 SHRINK = 0.7
 
 
@@ -32,7 +34,7 @@ class Node:
     children: list["Node"] = field(default_factory=list)
 
 
-def cover_tree(points: np.ndarray) -> tuple[np.ndarray, Node]:
+def cover_tree(points: np.ndarray, leaf_rows: int = LEAF_ROWS) -> tuple[np.ndarray, Node]:
     """The tree's row order and its root.
 
     A node's rows are covered by centers that lie further than ``SHRINK`` times the
@@ -45,7 +47,7 @@ def cover_tree(points: np.ndarray) -> tuple[np.ndarray, Node]:
         own = points[order[low:high]]
         radius = float(np.sqrt(((own - center) ** 2).sum(1).max()))
         node = Node(low, high, center, radius * (1 + 1e-9), float(np.sqrt((center**2).sum())))
-        if high - low <= LEAF_ROWS or radius == 0:
+        if high - low <= leaf_rows or radius == 0:
             return node
         reach = SHRINK * radius
         nearest = np.full(len(own), np.inf)
@@ -76,15 +78,34 @@ def cover_tree(points: np.ndarray) -> tuple[np.ndarray, Node]:
     return order, root
 
 
-def leaves(node: Node) -> list[Node]:
-    out, stack = [], [node]
-    while stack:
-        at = stack.pop()
-        if at.children:
-            stack += at.children[::-1]
-        else:
-            out.append(at)
-    return out
+class Balls:
+    """The nodes of a tree as arrays, the root first; a node's children follow one another."""
+
+    def __init__(self, root: Node):
+        nodes, at = [root], 0
+        first, many = [], []
+        while at < len(nodes):
+            first.append(len(nodes))
+            many.append(len(nodes[at].children))
+            nodes += nodes[at].children
+            at += 1
+        self.first, self.many = np.array(first), np.array(many)
+        self.low, self.high = (np.array([getattr(n, name) for n in nodes]) for name in ("low", "high"))
+        self.centers = np.array([n.center for n in nodes])
+        self.radius, self.length = (np.array([getattr(n, name) for n in nodes]) for name in ("radius", "length"))
+
+    def least(self, values: np.ndarray) -> np.ndarray:
+        """The smallest of each node's rows."""
+        out = np.full(len(self.low), np.inf)
+        for k in range(len(out) - 1, -1, -1):
+            children = slice(self.first[k], self.first[k] + self.many[k])
+            out[k] = out[children].min() if self.many[k] else values[self.low[k] : self.high[k]].min()
+        return out
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    sizes = high - low
+    return np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
 class Best:
@@ -93,53 +114,97 @@ class Best:
     def __init__(self, queries: int, k: int):
         self.scores = np.full((queries, k), -np.inf)
         self.ids = np.full((queries, k), np.iinfo(np.int64).max)
+        self.products = 0
 
-    def offer(self, rows: slice, scores: np.ndarray, ids: np.ndarray) -> None:
+    def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of some queries (rows) with some vectors (columns); -inf takes no part."""
+        self.products += scores.size
         k = self.scores.shape[1]
-        if scores.shape[1] > 4 * k:
-            # Only what reaches the kth score of the offer can enter.
-            kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
-            some = (scores >= np.maximum(kth, self.scores[rows, -1])[:, None]).any(0)
-            scores, ids = scores[:, some], ids[some]
-        scores = np.concatenate([self.scores[rows], scores], axis=1)
-        ids = np.concatenate([self.ids[rows], np.broadcast_to(ids, (len(scores), len(ids)))], axis=1)
-        order = np.lexsort((ids, -scores), axis=1)[:, :k]
-        self.scores[rows] = np.take_along_axis(scores, order, 1)
-        self.ids[rows] = np.take_along_axis(ids, order, 1)
+        # Only what reaches a query's kth score can enter; mostly that is nothing.
+        row, place = np.nonzero((scores >= self.scores[rows, -1][:, None]) & (scores > -np.inf))
+        if len(row) == 0:
+            return
+        touched, own = np.unique(row, return_inverse=True)
+        at = rows[touched]
+        query = np.concatenate([own, np.repeat(np.arange(len(touched)), k)])
+        values = np.concatenate([scores[row, place], self.scores[at].ravel()])
+        names = np.concatenate([ids[place], self.ids[at].ravel()])
+        order = np.lexsort((names, -values, query))
+        counts = np.bincount(query)
+        nth = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts)
+        chosen = order[nth < k]
+        self.scores[at] = values[chosen].reshape(-1, k)
+        self.ids[at] = names[chosen].reshape(-1, k)
 
 
 def dual_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, best: Best, tree) -> None:
     """Improve ``best`` (in the order of the query tree) by all of ``points``.
 
-    Pairs of a query ball and an index ball are visited; no inner product between them
+    Pairs of a query ball and an index ball are visited level by level; no inner product between them
     exceeds <q, r> + |q| R_r + |r| R_q + R_q R_r. A pair is pruned when that is below the
     worst kth score of the ball's queries; equal scores are still looked at, as a
-    smaller id wins a tie.
+    smaller id wins a tie. Each query leaf first looks at the most promising index leaf, which raises its
+    kth scores; then the other pairs of leaves follow, the most promising first.
     """
     query_order, query_root = tree
     order, root = cover_tree(points)
     sorted_points, sorted_ids = points[order], ids[order]
     sorted_queries, own_ids = queries[query_order], query_ids[query_order]
-
-    def bound(q: Node, r: Node) -> float:
-        return float(q.center @ r.center) + q.length * r.radius + r.length * q.radius + q.radius * r.radius
-
-    stack = [(bound(query_root, root), query_root, root)]
-    while stack:
-        most, q, r = stack.pop()
-        if most * (1 + 1e-12) + 1e-6 < best.scores[q.low : q.high, -1].min():
-            continue
-        if not q.children and not r.children:
-            scores = sorted_queries[q.low : q.high] @ sorted_points[r.low : r.high].T
-            scores[own_ids[q.low : q.high, None] == sorted_ids[None, r.low : r.high]] = -np.inf
-            best.offer(slice(q.low, q.high), scores, sorted_ids[r.low : r.high])
-            continue
-        if r.children and (not q.children or r.radius * q.length >= q.radius * r.length):
-            pairs = [(bound(q, c), q, c) for c in r.children]
-        else:
-            pairs = [(bound(c, r), c, r) for c in q.children]
-        # The most promising pair is looked at first, which raises the kth scores soonest.
-        stack += sorted(pairs, key=lambda p: p[0])
+    q, r = Balls(query_root), Balls(root)
+
+    # The bound of every pair of balls; a tree's rows bound how many there are.
+    bounds = q.centers @ r.centers.T + np.outer(q.length, r.radius) + np.outer(q.radius, r.length + r.radius)
+
+    def alive(a: np.ndarray, most: np.ndarray) -> np.ndarray:
+        return most * (1 + 1e-12) + 1e-6 >= q.least(best.scores[:, -1])[a]
+
+    def visit(a: np.ndarray, b: np.ndarray) -> None:
+        """All products of these pairs of leaves, an index leaf at a time."""
+        if len(b) == 0:
+            return
+        by_leaf = np.argsort(b, kind="stable")
+        a, b = a[by_leaf], b[by_leaf]
+        cuts = np.concatenate([[0], np.flatnonzero(b[1:] != b[:-1]) + 1, [len(b)]])
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            rows = _ranges(q.low[a[low:high]], q.high[a[low:high]])
+            part = slice(r.low[b[low]], r.high[b[low]])
+            scores = sorted_queries[rows] @ sorted_points[part].T
+            scores[own_ids[rows][:, None] == sorted_ids[None, part]] = -np.inf
+            best.offer(rows, scores, sorted_ids[part])
+
+    query_leaves, index_leaves = np.flatnonzero(q.many == 0), np.flatnonzero(r.many == 0)
+    first = index_leaves[(q.centers[query_leaves] @ r.centers[index_leaves].T).argmax(1)]
+    visit(query_leaves, first)
+    bounds[query_leaves, first] = -np.inf  # seen
+    a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    pairs = []
+    while len(a):
+        most = bounds[a, b]
+        keep = alive(a, most)
+        a, b, most = a[keep], b[keep], most[keep]
+        done = (q.many[a] == 0) & (r.many[b] == 0)
+        pairs.append((a[done], b[done], most[done]))
+        a, b = a[~done], b[~done]
+        # The ball that widens the bound more is opened.
+        index = (r.many[b] > 0) & ((q.many[a] == 0) | (r.radius[b] * q.length[a] >= q.radius[a] * r.length[b]))
+        many = np.where(index, r.many[b], q.many[a])
+        child = _ranges(np.where(index, r.first[b], q.first[a]), np.where(index, r.first[b], q.first[a]) + many)
+        index, a, b = np.repeat(index, many), np.repeat(a, many), np.repeat(b, many)
+        a, b = np.where(index, a, child), np.where(index, child, b)
+    a, b, most = (np.concatenate(parts) for parts in zip(*pairs))
+    new = most > -np.inf
+    a, b, most = a[new], b[new], most[new]
+    order = np.lexsort((-most, a))
+    a, b, most = a[order], b[order], most[order]
+    counts = np.bincount(a, minlength=len(q.low))
+    nth = np.arange(len(a)) - np.repeat(np.cumsum(counts) - counts, counts)
+    low = 0
+    while low < counts.max(initial=0):
+        high = max(4, 4 * low)
+        now = (nth >= low) & (nth < high)
+        now &= alive(a, most)
+        visit(a[now], b[now])
+        low = high
 
 
 def quantised(rows: DataFrame) -> DataFrame:
@@ -198,7 +263,7 @@ def top_products(rows: DataFrame, k: int = TOP, step: int = QUERY_STEP) -> DataF
                         yield found(best, tree, asked_ids)
                     queries = np.frombuffer(row["query_codes"]).reshape(-1, row["width"])
                     asked_ids = np.frombuffer(row["query_ids"], np.int64)
-                    last, tree, best = key, cover_tree(queries), Best(len(queries), k)
+                    last, tree, best = key, cover_tree(queries, QUERY_LEAF_ROWS), Best(len(queries), k)
                 points, ids = np.frombuffer(row["codes"]).reshape(-1, row["width"]), np.frombuffer(row["ids"], np.int64)
                 dual_search(queries, asked_ids, points, ids, k, best, tree)
         if best is not None:

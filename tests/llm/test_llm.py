@@ -359,6 +359,32 @@ def test_cover_tree_search_prunes_and_keeps_ties(spark, monkeypatch):
     assert {tuple(r) for r in cover_tree.top_products(df).collect()} == want
 
 
+def test_dual_tree_search_prunes_clusters_and_takes_each_vector_once():
+    rng = np.random.default_rng(3)
+    centers = rng.standard_normal((40, 16)) * 10
+    points = np.floor(256 * (centers[rng.integers(0, 40, 4000)] + rng.standard_normal((4000, 16)) * 0.1))
+    ids = np.arange(4000)
+    order, root = cover_tree.cover_tree(points)
+    stack = [root]
+    while stack:  # every row lies in its ball, and children hold each row once
+        node = stack.pop()
+        away = np.sqrt(((points[order[node.low : node.high]] - node.center) ** 2).sum(1))
+        assert away.max() <= node.radius * (1 + 1e-9) + 1e-9
+        if node.children:
+            assert [c.low for c in node.children] + [node.high] == [node.low] + [c.high for c in node.children]
+            stack += node.children
+    queries = ids[ids % 50 == 0]
+    for count in (4000, 3):  # fewer vectors than the best asked for, too
+        best, tree = cover_tree.Best(len(queries), 5), cover_tree.cover_tree(points[queries], cover_tree.QUERY_LEAF_ROWS)
+        cover_tree.dual_search(points[queries], queries, points[:count], ids[:count], 5, best, tree)
+        for row, place in enumerate(tree[0]):
+            scores = points[:count] @ points[queries[place]]
+            want = sorted((-s, v) for v, s in enumerate(scores) if v != queries[place])[:5]
+            assert [(-s, v) for s, v in zip(best.scores[row], best.ids[row]) if s > -np.inf] == want
+        if count == 4000:
+            assert best.products < 0.25 * len(queries) * 4000
+
+
 def test_repeated_passages_with_null_and_repeated_ids(spark):
     rows = [(None, story(20, 1) + " " + BASE), (None, BASE + " end"), (1, story(40, 8)), (1, story(40, 8)), (1, story(50, 7)), (2, None)]
     got = substrings.remove_recurring(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 seq"))
