@@ -12,10 +12,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from checks.compare import rows_of
-from newsward.llm import block_labels, cover_tree, embed_dup, extraction, html_blocks, lattice, mixing, near_dup, packing, queries, scoring, substrings, toxicity, urls
+from newsward.llm import block_labels, collocations, cover_tree, embed_dup, extraction, html_blocks, lattice, manifest, mixing, near_dup, packing, quality, queries, quotient, scoring, substrings, toxicity, urls
 from newsward.llm.common import components, running_total
 from newsward.llm.words import LOWER, words
 
@@ -426,3 +427,132 @@ def test_pipeline_drops_toxic_and_near_copies(spark):
     clean = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     once = corpus_pipeline.drop_near_duplicates(spark, clean, folder)
     assert once.count() == near_dup.near_duplicates(clean, 5).where("kept").count()
+
+
+@pytest.mark.parametrize("n, width", [(2, 1), (2, 17), (3, 9), (3, 21), (4, 16), (4, 31), (2, 32), (4, 32)])
+def test_quotient_filters_lose_nothing_and_merge(n, width):
+    rng = np.random.default_rng(n * width)
+    most = (1 << width) - 1
+    ids = np.minimum(rng.zipf(1.3, (5000, n)), most).astype(np.uint64)
+    ids[:3] = most
+    shard_bits, parts, want = 3, collections.defaultdict(list), collections.Counter(map(tuple, ids.tolist()))
+    want.update({tuple(ids[0].tolist()): 999})
+    for low in range(0, 5000, 700):
+        own = [ids[low : low + 700, k] for k in range(n)]
+        left, right = quotient.permuted(*quotient.packed(own, width), n, width)
+        assert (quotient.unpacked(*quotient.restored(left, right, n, width), n, width) == ids[low : low + 700]).all()
+        counts = np.ones(len(left), np.int64)
+        counts[0] += 999 if low == 0 else 0
+        entries = quotient.counted(left, right, counts, n, width)
+        shards = quotient.shard_of(entries[0], n, width, shard_bits)
+        assert (np.diff(shards) >= 0).all()
+        for shard in np.unique(shards):
+            mine = tuple(e[shards == shard] for e in entries)
+            raw = quotient.encoded(mine, n, width, shard_bits)
+            back = quotient.decoded(raw, n, width, shard_bits)
+            assert all((a == b).all() for a, b in zip(back, mine))
+            parts[int(shard)].append(back)
+    got = collections.Counter()
+    for own in parts.values():
+        left, right, counts = quotient.merged(own, n, width)
+        got.update(dict(zip(map(tuple, quotient.unpacked(*quotient.restored(left, right, n, width), n, width).tolist()), counts.tolist())))
+    assert got == want
+
+
+def phrases_by_hand(rows, least, longest, contained, top):
+    """Collocations as the contract says them, one phrase at a time."""
+    f, n = collections.Counter(), collections.Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(rb"[.,;:!?\x0a-\x0d]", lower((text or "").encode())):
+            own = re.findall(rb"[^\x20\x09]+", piece)
+            n[lang] += len(own)
+            f.update((lang, *own[i : i + m]) for m in range(1, longest + 1) for i in range(len(own) - m + 1))
+    out = collections.defaultdict(list)
+    often = {g: a for g, a in f.items() if a >= least}
+    for (lang, *g), a in often.items():
+        if len(g) < 2:
+            continue
+        cuts = [(2000000 * a // (f[lang, *g[:k]] + f[lang, *g[k:]]), k) for k in range(1, len(g))]
+        score, k = min(cuts)
+        around = [b for (other, *h), b in often.items() if other == lang and len(h) > len(g) and any(h[i : i + len(g)] == g for i in range(len(h)))]
+        if not any(100 * b >= contained * a for b in around):
+            out[lang].append((-score, -a, b" ".join(g), f[lang, *g[:k]], f[lang, *g[k:]]))
+    return {(lang, rank, g.decode(), -a, l, r, n[lang], -s) for lang, own in out.items() for rank, (s, a, g, l, r) in enumerate(sorted(own)[:top], 1)}
+
+
+def test_collocations_beside_counting_by_hand(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    vocabulary = ["New", "york", "City", "of", "the", "élan", "ß", "a\u00a0b", "x", "Y"]
+    rows = [(lang, " ".join(vocabulary[int(x)] + [" ", ", ", ".\n", "\t", " "][int(x) % 5] for x in rng.integers(0, 10, 60))) for lang in ("en", "de", None) for _ in range(40)]
+    rows += [("en", "New york city of the " * 50), ("und", None), ("und", ""), (None, " \t\n"), ("fr", "seul")]
+    df = spark.createDataFrame(rows, "lang string, text string").selectExpr("*", "1 id", "2 word", "3 ids", "4 a", "5 block")
+    monkeypatch.setattr(collocations, "BUFFER", 500)
+    for least, top in ((5, 2000), (12, 7)):
+        got = {tuple(r) for r in collocations.collocations(df, least, top=top).collect()}
+        assert got == phrases_by_hand(rows, least, 4, 80, top) and len(got) >= 20
+
+
+def merkle_by_hand(rows):
+    """Leaves, subroots, root and proofs, level by level."""
+    def h(*parts):
+        return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+    def enc(value):
+        return "-" if value is None else f"{len(str(value).encode())}:{value}"
+
+    def rise(nodes):
+        sides = [[] for _ in nodes]
+        at = list(range(len(nodes)))
+        while len(nodes) > 1:
+            for k, place in enumerate(at):
+                low = place // 3 * 3
+                sides[k].append((nodes[low:place], nodes[place + 1 : low + 3]))
+            nodes = [h(*nodes[k : k + 3]) for k in range(0, len(nodes), 3)]
+            at = [place // 3 for place in at]
+        return nodes[0], sides
+
+    by_source = collections.defaultdict(list)
+    for row in rows:
+        by_source[row[1]].append((row[0], h(*map(enc, row)), row))
+    order = sorted(by_source, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: rise([leaf for _, leaf, _ in sorted(by_source[s], key=lambda x: (x[0] is not None, x[0] or 0, x[1]))]) for s in order}
+    root, crown = rise([trees[s][0] for s in order])
+    out = []
+    for k, s in enumerate(order):
+        for (doc, leaf, row), sides in zip(sorted(by_source[s], key=lambda x: (x[0] is not None, x[0] or 0, x[1])), trees[s][1]):
+            path = sides + crown[k]
+            text = row[4].replace("\n", "") if doc is not None and row[4] is not None and zlib.crc32(str(doc).encode()) % 2 == 0 else row[4]
+            node = h(*map(enc, (*row[:4], text)))
+            for left, right in path:
+                node = h(*left, node, *right)
+            out.append((doc, leaf, trees[s][0], root, h(*(x for left, right in path for x in left + right)), node, node == root))
+    return collections.Counter(out)
+
+
+@pytest.mark.parametrize("levels", [1, 2, 6])
+def test_manifest_over_many_blocks(spark, monkeypatch, levels):
+    monkeypatch.setattr(manifest, "LEVELS", levels)
+    monkeypatch.setattr(manifest, "BLOCK", 3**levels)
+    rows = [(k, None if k % 11 == 0 else "hot" if k % 3 else f"s{k % 29}", [None, "en"][k % 2], k, f"a\nb{k}" if k % 5 else None) for k in range(200)]
+    rows += [(7, "hot", "en", 1, "again\n"), (7, "hot", "en", 1, "again\n"), (None, "hot", None, None, "x\n"), (None, "hot", None, None, "x\n"), (9, "", "en", 0, "")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string").selectExpr("*", "1 grp", "2 pos", "3 node", "4 leaf", "5 path")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    made = manifest.manifest(df, tampered).withColumn("proof", manifest.proof_digest(F.col("path")))
+    got = made.select("doc_id", "leaf", "subroot", "root", "proof", "folded_root", "verified").collect()
+    assert collections.Counter(map(tuple, got)) == merkle_by_hand(rows)
+
+
+def test_line_rules_on_odd_texts(spark):
+    prose = "This is a plain line of prose that ends as it should."
+    good = "\n".join(f"This{k} line{k} has{k} its own{k} words{k} and ends{k} as{k} it should{k}." for k in range(12))
+    texts = [None, "", " \n\t", good, good + "\nHome | About | Contact | Help", good.upper(), "\n".join([prose] * 12), "Home\n" * 200, good.replace(".", ""),
+             good + "\nAll rights reserved.\nBUY NOW!! BUY NOW!!", "la " * 100000, " ".join(f"w{k}" for k in range(300000)) + ".", good.replace(" ", "*** ")]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").selectExpr("*", "1 w", "2 s", "3 lines", "4 mask", "5 t")
+    got = {r.doc_id: r for r in quality.clean(df).select("doc_id", "quality.*").collect()}
+    assert [k for k, r in got.items() if r.kept] == [3, 4, 9, 11]
+    assert got[4].cleaned == good and got[9].cleaned == good and got[4].removed.navigation == 1 and got[9].removed.boilerplate == 1 and got[9].removed.shouting == 1
+    assert got[5].removed.shouting == 12 and got[8].removed.punctuation == 12 and got[12].removed.symbols == 12 and got[6].n_dup_lines == 11
+    assert got[10].n_repeat_words == got[10].n_words == 100000 and got[10].base_failed
+    assert got[11].n_words == 300000 and got[11].n_repeat_words == 0
+    assert quality.clean(df).columns == [*df.columns, "quality"]
