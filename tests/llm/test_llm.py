@@ -547,7 +547,7 @@ def test_line_rules_on_odd_texts(spark):
     prose = "This is a plain line of prose that ends as it should."
     good = "\n".join(f"This{k} line{k} has{k} its own{k} words{k} and ends{k} as{k} it should{k}." for k in range(12))
     texts = [None, "", " \n\t", good, good + "\nHome | About | Contact | Help", good.upper(), "\n".join([prose] * 12), "Home\n" * 200, good.replace(".", ""),
-             good + "\nAll rights reserved.\nBUY NOW!! BUY NOW!!", "la " * 100000, " ".join(f"w{k}" for k in range(300000)) + ".", good.replace(" ", "*** ")]
+             good + "\nAll rights reserved.\nBUY NOW!! BUY NOW!! BUY NOW!!", "la " * 100000, " ".join(f"w{k}" for k in range(300000)) + ".", good.replace(" ", "*** ")]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").selectExpr("*", "1 w", "2 s", "3 lines", "4 mask", "5 t")
     got = {r.doc_id: r for r in quality.clean(df).select("doc_id", "quality.*").collect()}
     assert [k for k, r in got.items() if r.kept] == [3, 4, 9, 11]
