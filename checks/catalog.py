@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,6 +85,32 @@ def requests_from_json(spark, sf_dir):
     return requests.read_requests_json(spark, path, fields, json_lines=True)
 
 
+LEXICON_ROWS = ", ".join(
+    f"({lexicons.quoted(industry)}, {pos}, {lexicons.quoted(keyword)})"
+    for industry, words in sorted(lexicons.INDUSTRY_KEYWORDS.items()) for pos, keyword in enumerate(words)
+)
+
+
+@check("keyword_files", f"""
+SELECT industry, CAST(pos AS INTEGER) AS pos, keyword FROM (VALUES {LEXICON_ROWS}) AS l(industry, pos, keyword)
+UNION ALL
+SELECT DISTINCT 'segment ' || lower(c_mktsegment), 0, c_mktsegment || ' news' FROM customer""")
+def keyword_files(spark, sf_dir):
+    """A file per industry, as the lists are kept, and one per market segment of the customers."""
+    path = scratch_path(spark, "keyword-files")
+    stems = F.create_map(*[F.lit(v) for stem, label in requests.FILE_LABELS.items() for v in (label, stem)])
+    own = lexicons.keyword_table(spark).groupBy("industry").agg(F.sort_array(F.collect_list(F.struct("pos", "keyword"))).alias("rows"))
+    lists = own.select(F.coalesce(stems[F.col("industry")], F.col("industry")).alias("stem"), F.col("rows.keyword").alias("words"))
+    segments = read_table(spark, sf_dir, "customer").select("c_mktsegment").distinct()
+    more = segments.select(F.concat(F.lit("segment "), F.lower("c_mktsegment")).alias("stem"), F.array(F.concat("c_mktsegment", F.lit(" news"))).alias("words"))
+    filesystem = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in lists.union(more).collect():  # a file per industry
+        out = filesystem.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{row['stem']}_keywords.json"))
+        out.write(bytearray(json.dumps(row["words"]).encode()))
+        out.close()
+    return requests.read_lexicons(spark, path)
+
+
 @check("requests_from_json_array", f"""
 SELECT company_id, company_name, search_query FROM {sql_of('requests')}""")
 def requests_from_json_array(spark, sf_dir):

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from dataclasses import dataclass
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,35 +30,97 @@ SCHEMAS = {
 }
 
 
-class ParquetMart:
-    """Each load writes its own ``load_id`` folder per table and replaces only that.
+# A load finds its number taken at most so often before it gives up.
+TRIES = 10
+LOADS = "_loads"
+LOAD = "seq bigint, load_id string, attempt string"
+
+
+class LoadConflict(Exception):
+    """Other loads were committed in the meantime, more often than a load tries."""
+
+
+@dataclass
+class Snapshot:
+    """The committed loads as they were at one time: their attempts by load, and the last number."""
 
-    A load that is run again, even after other loads, keeps the countries it brought and
-    their ids, and its detail ids if it has as many records as before; with another
-    number it gets new ids behind all others. No dimension row is renumbered or lost.
-    One load writes at a time; the caller sees to that.
+    attempts: dict[str, str]
+    last: int
+
+
+class ParquetMart:
+    """A folder of tables that change as one: a load writes its rows beside the others' and
+    becomes visible with one file, its manifest, written last.
+
+    Readers see committed loads only, so a load that fails between any two writes leaves
+    nothing to be seen. Manifests are numbered; a load may only take the number
+    after the last one it has read. Of two loads at a time the second to commit finds its number taken, and
+    works out its ids again from what the first has brought.
+
+    A load that is run again, even after other loads, takes the place of its earlier attempt. It keeps the
+    countries it brought and their ids, and its detail ids if it has as many records as
+    before; with another number it gets new ids behind all others. No dimension row is renumbered or lost.
+    Rows of attempts that never committed stay on disk, unread.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def read(self, table: str, only_load: str | None = None) -> DataFrame:
+    def snapshot(self) -> Snapshot:
+        """One small row per load that was ever committed."""
+        try:
+            rows = self.spark.read.schema(LOAD).json(f"{self.root}/{LOADS}").collect()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = []
+        rows.sort(key=lambda row: row["seq"])
+        return Snapshot({row["load_id"]: row["attempt"] for row in rows}, rows[-1]["seq"] if rows else 0)
+
+    def read(self, table: str, only_load: str | None = None, at: Snapshot | None = None) -> DataFrame:
+        """The rows of the committed loads, or of one of them, as of now or of a snapshot."""
+        attempts = (at or self.snapshot()).attempts
+        seen = [a for load, a in attempts.items() if only_load in (None, load)]
         schema = SCHEMAS[table]
         try:
-            stored = self.spark.read.schema(f"{schema}, load_id string").parquet(f"{self.root}/{table}")
+            stored = self.spark.read.schema(f"{schema}, attempt string").parquet(f"{self.root}/{table}")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], schema)
-        if only_load is not None:
-            stored = stored.where(F.col("load_id") == only_load)
-        return stored.drop("load_id")
+        return stored.where(F.col("attempt").isin(seen)).drop("attempt")
+
+    def write(self, table: str, rows: DataFrame, attempt: str) -> None:
+        columns = [field.split(" ")[0] for field in SCHEMAS[table].split(", ")]
+        rows.select(*columns).write.mode("overwrite").parquet(f"{self.root}/{table}/attempt={attempt}")
+
+    def commit(self, load_id: str, attempt: str, at: Snapshot) -> bool:
+        """Make an attempt visible, unless another load was committed since ``at``."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        fs, content = jvm.org.apache.hadoop.fs, json.dumps({"seq": at.last + 1, "load_id": load_id, "attempt": attempt})
+        final = fs.Path(f"{self.root}/{LOADS}/{at.last + 1:012d}.json")
+        # Names with a leading dot are not read. The file is whole before it gets its name,
+        # and a name that is taken is refused.
+        hidden = fs.Path(f"{self.root}/{LOADS}/.{attempt}")
+        files = final.getFileSystem(conf)
+        out = files.create(hidden, True)
+        out.write(bytearray(content.encode()))
+        out.close()
+        context = fs.FileContext.getFileContext(files.makeQualified(final).toUri(), conf)
+        plain = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(files.makeQualified(hidden), files.makeQualified(final), plain)
+        except Py4JJavaError as error:
+            if not isinstance_of(error, "FileAlreadyExistsException"):
+                raise
+            files.delete(hidden, False)
+            return False
+        return True
 
-    def write(self, table: str, rows: DataFrame, load_id: str) -> None:
-        columns = self.read(table).columns
-        path = f"{self.root}/{table}/load_id={load_id}"
-        rows.select(*columns).write.mode("overwrite").parquet(path)
+
+def isinstance_of(error: Py4JJavaError, name: str) -> bool:
+    return error.java_exception.getClass().getName().endswith(name)
 
 
 class JdbcMart:
@@ -67,12 +134,18 @@ class JdbcMart:
         self.spark = spark
         self.options = {"batchsize": "10000", **options}
 
-    def read(self, table: str, only_load: str | None = None) -> DataFrame:
+    def snapshot(self) -> Snapshot:
+        return Snapshot({}, 0)
+
+    def commit(self, load_id: str, attempt: str, at: Snapshot) -> bool:
+        return True
+
+    def read(self, table: str, only_load: str | None = None, at: Snapshot | None = None) -> DataFrame:
         if only_load is not None:
             return self.spark.createDataFrame([], SCHEMAS[table])
         return self.spark.read.format("jdbc").options(**self.options, dbtable=table).load()
 
-    def write(self, table: str, rows: DataFrame, load_id: str) -> None:
+    def write(self, table: str, rows: DataFrame, attempt: str) -> None:
         writer = rows.write.format("jdbc").options(**self.options, dbtable=table)
         writer.mode("append").save()
 
@@ -84,20 +157,29 @@ def load_datamart(
     load_id: str,
     bridges: bool = True,
 ) -> Load:
-    """Append the records, the new countries and the bridge rows. The records are staged,
-    as they are counted, sorted and written, so that each is classified once."""
+    """Append the records, the new countries and the bridge rows, all or nothing. The records are
+    staged, as they are counted, sorted and written, so that each is classified once. If another load commits
+    first, the ids are worked out again, at most ``TRIES`` times."""
     records = stage(records)
-    own = mart.read(DETAILS, only_load=load_id).agg(F.count("*"), F.min("id")).first()
+    for _ in range(TRIES):
+        at, attempt = mart.snapshot(), uuid.uuid4().hex
+        load = _write_attempt(mart, records, order_by, load_id, bridges, at, attempt)
+        if mart.commit(load_id, attempt, at):
+            return load
+    raise LoadConflict(f"load {load_id} found other loads committed {TRIES} times")
+
+
+def _write_attempt(mart, records: DataFrame, order_by: list[str], load_id: str, bridges: bool, at: Snapshot, attempt: str) -> Load:
+    own = mart.read(DETAILS, load_id, at).agg(F.count("*"), F.min("id")).first()
     again = own[0] > 0 and own[0] == records.count()
-    last = own[1] - 1 if again else max_id(mart.read(DETAILS))
-    # Staged, as this load's part of the table is written anew below.
-    load = build_load(records, stage(mart.read(COUNTRIES)), order_by, last, bridges)
+    last = own[1] - 1 if again else max_id(mart.read(DETAILS, at=at))
+    load = build_load(records, stage(mart.read(COUNTRIES, at=at)), order_by, last, bridges)
     if bridges:
         # What this load brought before stays, under its ids.
-        brought = mart.read(COUNTRIES, only_load=load_id).unionByName(load.countries.select("id", "country"))
-        mart.write(COUNTRIES, stage(brought), load_id)
-    mart.write(DETAILS, load.details.select("id", *RECORD_COLUMNS), load_id)
+        brought = mart.read(COUNTRIES, load_id, at).unionByName(load.countries.select("id", "country"))
+        mart.write(COUNTRIES, brought, attempt)
+    mart.write(DETAILS, load.details.select("id", *RECORD_COLUMNS), attempt)
     if bridges:
-        mart.write(INCIDENT_THEMES, load.incident_themes, load_id)
-        mart.write(INCIDENT_COUNTRIES, load.incident_countries, load_id)
+        mart.write(INCIDENT_THEMES, load.incident_themes, attempt)
+        mart.write(INCIDENT_COUNTRIES, load.incident_countries, attempt)
     return load

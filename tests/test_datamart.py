@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from newsward.operators import datamart as D
@@ -52,6 +53,7 @@ def test_records(spark):
 def test_load_twice_and_reload(spark, tmp_path):
     mart = M.ParquetMart(spark, str(tmp_path / "mart"))
     mart.write(M.COUNTRIES, country_dim(spark), "seed")
+    assert mart.commit("seed", "seed", mart.snapshot())
     records = X.to_records(replied(spark), "News", keep=("seq",))
     for load_id in ("a", "b", "b"):
         M.load_datamart(mart, records, ["seq"], load_id)
@@ -109,3 +111,70 @@ def test_a_load_that_failed_half_way_keeps_its_countries(spark, tmp_path):
     assert len(ids) == len(set(ids))
     assert {row[1] for row in after[M.INCIDENT_COUNTRIES]} <= set(ids)
     assert len({row[0] for row in after[M.DETAILS]}) == 6
+
+
+@pytest.mark.parametrize("writes", [0, 1, 2, 3, 4])
+def test_a_load_that_fails_between_writes_is_not_seen(spark, tmp_path, writes):
+    class Failing(M.ParquetMart):
+        done = 0
+
+        def write(self, table, rows, attempt):
+            if self.done == writes:
+                raise OSError("disk is gone")
+            self.done += 1
+            super().write(table, rows, attempt)
+
+        def commit(self, load_id, attempt, at):
+            if self.done == writes:
+                raise OSError("disk is gone")
+            return super().commit(load_id, attempt, at)
+
+    mart = M.ParquetMart(spark, str(tmp_path / "mart"))
+    records = X.to_records(replied(spark), "News", F.lit("2024-06-01 12:00:00").cast("timestamp"), keep=("seq",))
+    M.load_datamart(mart, records, ["seq"], "a")
+    before = tables(mart)
+    other = records.withColumn("country", F.lit("peru"))
+    for load_id in ("a", "b"):  # a load run again, and a new one
+        with pytest.raises(OSError):
+            M.load_datamart(Failing(spark, mart.root), other, ["seq"], load_id)
+        assert tables(mart) == before
+    M.load_datamart(mart, other, ["seq"], "b")
+    assert len({row[0] for row in tables(mart)[M.DETAILS]}) == 2 * len(before[M.DETAILS])
+
+
+def test_two_loads_at_a_time_end_in_one_retry(spark, tmp_path):
+    records = X.to_records(replied(spark), "News", F.lit("2024-06-01 12:00:00").cast("timestamp"), keep=("seq",))
+    other = records.withColumn("country", F.lit("peru"))
+
+    class Interleaved(M.ParquetMart):
+        """Another load comes and goes while this one writes its details for the first time."""
+
+        snapshots = 0
+
+        def snapshot(self):
+            self.snapshots += 1
+            return super().snapshot()
+
+        def write(self, table, rows, attempt):
+            super().write(table, rows, attempt)
+            if table == M.DETAILS and self.snapshots == 1:
+                M.load_datamart(M.ParquetMart(spark, self.root), other, ["seq"], "b")
+
+    mart = Interleaved(spark, str(tmp_path / "mart"))
+    M.load_datamart(mart, records, ["seq"], "a")
+    assert mart.snapshots == 2
+    plain = M.ParquetMart(spark, mart.root)
+    found = tables(plain)
+    details, countries = [row[0] for row in found[M.DETAILS]], dict(found[M.COUNTRIES])
+    assert sorted(details) == list(range(1, len(details) + 1)) and len(details) == 6
+    assert len(set(countries.values())) == len(countries) and "Peru" in countries.values()
+    assert {row[1] for row in found[M.INCIDENT_COUNTRIES]} <= set(countries)
+    assert [*plain.snapshot().attempts] == ["b", "a"] and plain.snapshot().last == 2
+
+
+def test_a_load_gives_up_when_others_never_cease(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(M, "TRIES", 2)
+    monkeypatch.setattr(M.ParquetMart, "commit", lambda *_: False)
+    records = X.to_records(replied(spark), "News", keep=("seq",))
+    with pytest.raises(M.LoadConflict):
+        M.load_datamart(M.ParquetMart(spark, str(tmp_path / "mart")), records, ["seq"], "a")
