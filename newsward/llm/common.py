@@ -25,6 +25,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 # Bytes of an Arrow batch while a table is written, and of text worked on at a time.
 BATCH_BYTES = 8 << 20
 SLICE_BYTES = 1 << 20
+ROW_GROUP_BYTES = 32 << 20
 
 
 @contextmanager
@@ -43,7 +44,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a large intermediate table once to the shared folder and read it back."""
     path = scratch_path(df.sparkSession, name)
     with small_batches(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
+        # A writer holds a row group in memory until it is full.
+        df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
