@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from checks import sql as S
@@ -363,6 +363,26 @@ def bad_replies(spark, sf_dir):
     return P.bad_replies(fixture(spark, sf_dir, "replies"))
 
 
+VERDICT = f"CASE WHEN js <> reply THEN 'malformed' WHEN {S.gate('js', 'web')} THEN 'accepted' ELSE 'gated' END"
+
+
+@check("reply_verdicts", f"SELECT doc_id, {VERDICT} AS verdict FROM {SAFE_REPLIES} AS r")
+def reply_verdicts(spark, sf_dir):
+    return P.judged_replies(fixture(spark, sf_dir, "replies")).select("doc_id", "verdict")
+
+
+@check("reply_counts", f"""
+SELECT count(*) FILTER (verdict = 'accepted') AS accepted, count(*) FILTER (verdict = 'gated') AS gated,
+  count(*) FILTER (verdict = 'malformed') AS malformed FROM (SELECT {VERDICT} AS verdict FROM {SAFE_REPLIES} AS r) AS v""")
+def reply_counts(spark, sf_dir):
+    """The numbers gathered while the judged replies are written."""
+    counts = Observation("reply-counts")
+    judged = P.judged_replies(fixture(spark, sf_dir, "replies"), counts=counts)
+    judged.write.partitionBy("verdict").parquet(scratch_path(spark, "judged-replies"))
+    row = [int(counts.get[name]) for name in P.VERDICTS]
+    return spark.createDataFrame([row], ", ".join(f"{name} bigint" for name in P.VERDICTS))
+
+
 @check("capped_links", f"SELECT * FROM {sql_of('links')} AS l WHERE pos <= 9")
 def capped_links(spark, sf_dir):
     return L.cap_links(fixture(spark, sf_dir, "links"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from newsward.functions import reply as R
@@ -60,3 +60,24 @@ def valid_replies(replies: DataFrame) -> DataFrame:
 def bad_replies(replies: DataFrame) -> DataFrame:
     """The complement of ``valid_replies``, for a look at what the classifier returned."""
     return replies.where(~R.valid_reply(R.parse_reply(F.col("reply"))))
+
+
+# What becomes of a reply.
+VERDICTS = ["accepted", "gated", "malformed"]
+
+
+def judged_replies(replies: DataFrame, mode: str = "web", counts: Observation | None = None) -> DataFrame:
+    """Every row with a ``verdict``: ``accepted`` names an ESG category, ``gated`` is
+    well formed and does not, ``malformed`` is neither; a null reply is malformed.
+
+    A reply is parsed once for both questions, and what is accepted and what is to be looked at
+    are two filters of this result. ``counts`` gathers how many there are of each as the rows pass by,
+    without another job; it can be asked once an action has run.
+    """
+    parsed = compute_once(replies, "parsed", R.parse_reply(F.col("reply")))
+    valid, gate = (F.coalesce(c, F.lit(False)) for c in (R.valid_reply(F.col("parsed")), R.esg_gate(F.col("parsed"), mode)))
+    verdict = F.when(~valid, "malformed").when(gate, "accepted").otherwise("gated")
+    rows = parsed.withColumn("verdict", verdict).drop("parsed")
+    if counts is None:
+        return rows
+    return rows.observe(counts, *[F.count_if(F.col("verdict") == name).alias(name) for name in VERDICTS])

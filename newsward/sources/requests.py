@@ -49,7 +49,9 @@ def read_lexicons(spark: SparkSession, path: str) -> DataFrame:
     """(industry, pos, keyword) from ``<stem>_keywords.json`` files, each an array of
     strings. A stem without a label of its own is the industry's name."""
     files = spark.read.text(f"{path.rstrip('/')}/*_keywords.json", wholetext=True)
-    stem = F.regexp_extract(F.col("_metadata.file_name"), "^(.*)_keywords[.]json$", 1)
+    # Spark gives file names with their blanks escaped; a plus sign stands for itself.
+    name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+    stem = F.regexp_extract(name, "^(.*)_keywords[.]json$", 1)
     labels = F.create_map(*[F.lit(v) for pair in FILE_LABELS.items() for v in pair])
     words = F.from_json("value", "array<string>")
     return files.select(

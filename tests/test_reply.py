@@ -66,3 +66,20 @@ def test_classifier_request(apply):
     ]
     assert (request["temperature"], request["presence_penalty"], request["seed"]) == (0.01, 0.5, 123)
     assert request["response_format"] == {"type": "json_object"}
+
+
+def test_replies_are_judged_by_one_parse(spark):
+    from pyspark.sql import Observation
+
+    from newsward.operators import filters
+
+    replies = ['{"categories": "Environmental"}', '{"categories": ""}', "no reply", None, '{"categories": "Social"}']
+    rows = spark.createDataFrame(list(enumerate(replies)), "doc_id int, reply string")
+    counts = Observation("test-replies")
+    judged = filters.judged_replies(rows, counts=counts)
+    found = {r["doc_id"]: r["verdict"] for r in judged.collect()}
+    valid = {r["doc_id"] for r in filters.valid_replies(rows).collect()}
+    gated = {r["doc_id"] for r in filters.esg_replies(rows).collect()}
+    for doc_id, verdict in found.items():
+        assert verdict == ("malformed" if doc_id not in valid else "accepted" if doc_id in gated else "gated")
+    assert counts.get == {name: sum(v == name for v in found.values()) for name in filters.VERDICTS}
