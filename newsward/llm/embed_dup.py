@@ -23,7 +23,6 @@ HASHES = 63
 BLOCK = 512
 # Wanted chance that a pair right at the threshold is missed by all passes.
 MISS = 1e-3
-MOST_PASSES = 400
 # Vectors of one component are compared for the count of links in chunks of this size.
 CHUNK = 512
 SEED = 7
@@ -39,7 +38,7 @@ def passes_for(rows: int) -> int:
     agree = 1 - math.acos(COSINE) / math.pi
     depth = max(0.0, math.log2(max(rows, 1) / (BLOCK / 2)))
     meets = agree**depth
-    return 1 if meets >= 1 else min(MOST_PASSES, math.ceil(math.log(MISS) / math.log1p(-meets)))
+    return 1 if meets >= 1 else math.ceil(math.log(MISS) / math.log1p(-meets))
 
 
 def planes(number: int, dims: int) -> np.ndarray:

@@ -27,6 +27,11 @@ SCORES = (
 DOCS = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string()), ("class", pa.int64())])
 
 
+def _wide(raw: bytes) -> np.ndarray:
+    """Numbers behind a byte that says how many bytes each takes."""
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 def _squeeze(data: bytes) -> bytes:
     import zstandard
 
@@ -206,7 +211,9 @@ def score_texts(docs: DataFrame, vocabulary: lattice.Vocabulary, held_out=None,
         total, blob, starts, sizes, inverse, hashes = _merged(table, classes)
         logs = lattice.log_marginals(vocabulary, blob, starts, sizes).astype("<f4")
         parts = np.split(inverse, np.cumsum([len(h) for h in hashes])[:-1])
-        counts = [_squeeze(total[:, i].astype("<u4").tobytes()) for i in parts]
+        # Counts over the whole corpus may pass 32 bits; the first byte says how wide they are.
+        width = 4 if total.max(initial=0) < 1 << 32 else 8
+        counts = [_squeeze(bytes([width]) + total[:, i].astype(f"<u{width}").tobytes()) for i in parts]
         rows = [table["block"], table["bucket"], pa.array(counts), pa.array([_squeeze(logs[:, i].tobytes()) for i in parts])]
         return pa.Table.from_arrays(rows, names=["block", "bucket", "counts", "logs"])
 
@@ -226,7 +233,7 @@ def score_texts(docs: DataFrame, vocabulary: lattice.Vocabulary, held_out=None,
     def score_block(docs_: pa.Table, words__: pa.Table) -> pa.Table:
         out = []
         words__ = words__.sort_by("bucket")
-        counts = np.concatenate([np.zeros((classes, 0), "<u4"), *[np.frombuffer(_expand(x), "<u4").reshape(classes, -1) for x in words__["counts"].to_pylist()]], axis=1).astype(np.int64)
+        counts = np.concatenate([np.zeros((classes, 0), "<u4"), *[_wide(_expand(x)).reshape(classes, -1) for x in words__["counts"].to_pylist()]], axis=1).astype(np.int64)
         pieces = np.concatenate([np.zeros((classes, 0), "<f4"), *[np.frombuffer(_expand(x), "<f4").reshape(classes, -1) for x in words__["logs"].to_pylist()]], axis=1).astype(float)
         logs, totals = class_logs(counts, pieces), counts.sum(0)
         for packed in docs_["blob"].to_pylist():

@@ -16,7 +16,6 @@ FOLDS = 5
 # The classifier is fit on at most this many labelled documents of each class, those of
 # the lowest hashed id. Nothing else is sampled.
 TRAIN_PER_CLASS = 4000
-PAIR_DISCOUNT = 1e9
 # Discounts of the two orders: counts up to this go to the shared backoff.
 PAIR_DISCOUNT = 2.0
 WORD_DISCOUNT = 1.0
