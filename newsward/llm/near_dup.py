@@ -19,7 +19,7 @@ from newsward.session import stage
 SIMILARITY = 80  # percent
 COORDINATES = 64
 TREES = 16
-DEPTH = 12
+DEPTH = 5
 NODE_LIMIT = 512
 # Each document of a larger node is compared with this many of its documents first.
 PIVOTS = 8
