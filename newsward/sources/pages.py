@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsward.functions.html import TAG, drop_hidden, fragment_text, href, stripped_text
-from newsward.functions.once import compute_once, let, part
-from newsward.functions.text import strip_ws
+from newsward.functions.html import drop_hidden, fragment_text, href
+from newsward.functions.once import compute_once
+from newsward.functions.tables import rows_of_batches
 
 # Fixed value: the class of a search result block.
 RESULT_CLASS = "algo-sr"
@@ -126,125 +126,20 @@ def extract_paged_links(
     )
 
 
-HAS_ANCHOR = r"(?i)<a[\s>]"
-ANCHOR = r"(?i)<a\b[^>]*>"
-# Every tag, and the text between tags.
-TOKEN = TAG + "|[^<]+|<"
-TABLE_TAG = r"(?i)^</?(table|tr|td|th)(?=[\s/>])"
-# What a tag ends: these elements, if they are the innermost open ones.
-ENDS = {"tr": ["td", "tr"], "td": ["td"], "th": ["td"]}
-OPEN = "array<struct<kind:string,no:int,first:int>>"
-CLOSED = "array<struct<kind:string,no:int,first:int,last:int>>"
-
-
-def _closed_elements(tags: Column) -> Column:
-    """``array<struct<kind,no,first,last>>`` of all tables, rows and cells, given their tags.
-
-    One pass with a stack of the open elements, the innermost first, in parts of about the
-    root of the page's tags: a fold copies what it has gathered at each step. ``no`` counts the
-    elements of a kind as they open. A table has the rows ``first`` to ``last`` (the latter
-    left out) by their numbers, nested ones included, a row the cells, a cell the tokens. A
-    new row or cell ends the one before it in its table; the page's end ends all.
-    """
-    counts = ["table", "tr", "td"]
-
-    def ended(opened: Column, tag: Column) -> Column:
-        kinds = F.transform(opened, lambda e: e["kind"])
-        size = F.size(kinds)
-
-        def run(allowed: list[str]) -> Column:
-            place = F.array_position(F.transform(kinds, lambda k: k.isin(allowed)), F.lit(False)).cast("int")
-            return F.when(place == 0, size).otherwise(place - 1)
-
-        name = tag["name"]
-        count = F.when(name == "end", size)
-        count = count.when((name == "table") & tag["closing"], F.array_position(kinds, "table").cast("int"))
-        for kind, allowed in ENDS.items():
-            # A heading cell's closing tag ends nothing: it opened nothing.
-            count = count.when((name == kind) & ~(tag["closing"] & (name == "th")), run(allowed))
-        return count.otherwise(0)
-
-    def change(state: Column, tag: Column) -> Column:
-        """The open elements after a tag, and those it closed."""
-        opened = state["now"]["open"]
-        opens = ~tag["closing"] & tag["name"].isin(counts)
-        number = F.when(tag["name"] == "table", state["table"]).when(tag["name"] == "tr", state["tr"]).otherwise(state["td"])
-        first = F.when(tag["name"] == "table", state["tr"]).when(tag["name"] == "tr", state["td"]).otherwise(tag["at"] + 1)
-        new = F.array(F.struct(tag["name"].alias("kind"), number.alias("no"), first.alias("first")))
-
-        def last(e: Column) -> Column:
-            return F.when(e["kind"] == "table", state["tr"]).when(e["kind"] == "tr", state["td"]).otherwise(tag["at"])
-
-        def with_count(count: Column) -> Column:
-            left = F.slice(opened, count + 1, F.size(opened))
-            closed = F.transform(
-                F.slice(opened, F.lit(1), count),
-                lambda e: F.struct(e["kind"].alias("kind"), e["no"].alias("no"), e["first"].alias("first"), last(e).alias("last")),
-            )
-            return F.struct(F.when(opens, F.concat(new, left)).otherwise(left).alias("open"), closed.alias("closed"))
-
-        return let(ended(opened, tag), with_count)
-
-    none = F.array().cast(CLOSED)
-
-    def step(state: Column, tag: Column) -> Column:
-        # What one tag closed is gathered with the next, so that a change is worked out once.
-        return F.struct(
-            change(state, tag).alias("now"),
-            *[(state[kind] + F.when(~tag["closing"] & (tag["name"] == kind), 1).otherwise(0)).alias(kind) for kind in counts],
-            F.concat(state["recent"], state["now"]["closed"]).alias("recent"),
-        )
-
-    def over_part(state: Column, tags_: Column) -> Column:
-        own = state["own"]
-        start = F.struct(F.struct(own["now"]["open"].alias("open"), none.alias("closed")).alias("now"), *[own[kind].alias(kind) for kind in counts], none.alias("recent"))
-        return F.struct(F.aggregate(tags_, start, step).alias("own"), F.concat(state["done"], F.array(gathered(own))).alias("done"))
-
-    def gathered(state: Column) -> Column:
-        return F.concat(state["recent"], state["now"]["closed"])
-
-    size = F.size(tags)
-    most = F.ceil(F.sqrt(size)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), size - 1, most), lambda k: part(tags, k, F.least(k + most, size)))
-    nothing = F.struct(F.array().cast(OPEN).alias("open"), none.alias("closed")).alias("now")
-    start = F.struct(F.struct(nothing, *[F.lit(0).alias(kind) for kind in counts], none.alias("recent")).alias("own"), F.array().cast(f"array<{CLOSED}>").alias("done"))
-    return F.aggregate(parts, start, over_part, lambda state: F.concat(F.flatten(state["done"]), gathered(state["own"])))
-
-
 def extract_table_rows(pages: DataFrame, on_short_row: str = "null", key: str = "page_id") -> DataFrame:
     """Rows of every table on a page, its first row left out.
 
     A table has all rows inside it and a row all cells inside it, those of nested tables
     included; a nested table is also one of its own. A cell that holds an anchor gives a link, any
     other a text; the columns are filled by position. ``index`` counts the rows of a table from 0,
-    ``table_no`` the tables as they open. The work grows with the page, not with its square.
+    ``table_no`` the tables as they open. One pass over a page's tags in plain Python: as nested
+    column functions, which Spark interprets, it took some ten times as long.
     """
-    own = pages.select(F.col(key), drop_hidden(F.col("html")).alias("source"))
-    holding = own.where(F.col("source").rlike(r"(?i)<table[\s/>]"))
-    tokens = compute_once(holding, "tokens", F.regexp_extract_all("source", F.lit(TOKEN), F.lit(0))).drop("source")
-    marked = F.transform("tokens", lambda t, i: F.struct(i.alias("at"), F.lower(F.regexp_extract(t, TABLE_TAG, 1)).alias("name"), t.startswith("</").alias("closing")))
-    end = F.struct(F.size("tokens").alias("at"), F.lit("end").alias("name"), F.lit(True).alias("closing"))
-    tags = compute_once(tokens, "tags", F.concat(F.filter(marked, lambda t: t["name"] != ""), F.array(end)))
-    closed = compute_once(tags, "closed", _closed_elements(F.col("tags"))).drop("tags")
-
-    def of(kind: str) -> Column:
-        mine = F.filter("closed", lambda e: e["kind"] == kind)
-        return F.sort_array(F.transform(mine, lambda e: F.struct(e["no"].alias("no"), e["first"].alias("first"), e["last"].alias("last"))))
-
-    def value(cell: Column) -> Column:
-        content = F.coalesce(F.array_join(part(F.col("tokens"), cell["first"], cell["last"]), ""), F.lit(""))
-        return let(content, lambda c: F.struct(c.rlike(HAS_ANCHOR).alias("is_link"), F.when(c.rlike(HAS_ANCHOR), strip_ws(href(F.regexp_extract(c, ANCHOR, 0)))).otherwise(stripped_text(c)).alias("value")))
-
-    cells = compute_once(closed, "cells", F.transform(of("td"), value)).drop("tokens")
-    rows = compute_once(cells, "rows", F.transform(of("tr"), lambda r: part(F.col("cells"), r["first"], r["last"]))).drop("cells")
-    body = F.transform(of("table"), lambda t: part(F.col("rows"), t["first"] + 1, t["last"]))
-    tables = rows.select(key, F.posexplode(body).alias("table_no", "body"))
-    split_up = tables.select(key, "table_no", F.posexplode("body").alias("index", "row")).select(
-        key,
-        "table_no",
-        "index",
-        *[F.transform(F.filter(F.coalesce("row", F.array()), lambda c: c["is_link"] == is_link), lambda c: c["value"]).alias(name) for name, is_link in (("links", True), ("texts", False))],
-    )
+    own = compute_once(pages.select(F.col(key), "html"), "source", drop_hidden(F.col("html")))
+    holding = own.where(F.col("source").rlike(r"(?i)<table[\s/>]")).select(key, "source")
+    key_type = holding.schema[key].dataType.simpleString()
+    schema = f"`{key}` {key_type}, table_no int, index int, links array<string>, texts array<string>"
+    split_up = holding.mapInArrow(rows_of_batches, schema)
 
     def at(column: str, place: int) -> Column:
         value = F.get(column, F.lit(place))

@@ -1,9 +1,11 @@
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from newsward.functions import tables
 from newsward.lexicons import INDUSTRY_KEYWORDS, keyword_table
 from newsward.operators.filters import required_fields
 from newsward.sources import exports, news, pages, requests
@@ -148,3 +150,23 @@ def test_a_long_table_takes_time_in_proportion(spark):
     made = spark.range(1).select(F.lit(1).alias("page_id"), F.expr("'<table><tr><td>h' || repeat('<tr><td>a</td><td><a href=/l>x</a></td></tr>', 20000)").alias("html"))
     rows = pages.extract_table_rows(made)
     assert rows.where("`Event Date` = 'a' AND `Link_text` = '/l'").count() == 20000
+
+
+def test_table_rows_of_a_page_in_one_python_pass():
+    source = "<tr><td>out<table a='>'><tr><th>h<tr><td>&amp;lt; <b> &eacute;&#128;</b><TABLE><tr><tr><td>in</TABLE><td><a\thref=' /x&nope;&#0; '>go<tr><td/>"
+    assert tables.table_rows(source) == [
+        (0, 0, ["/x&nope;�"], ["&lt;é€in", "in"]),
+        (0, 1, [], []),
+        (0, 2, [], ["in"]),
+        (0, 3, [], [""]),
+        (1, 0, [], ["in"]),
+    ]
+    assert tables.table_rows("</table><td>x</td></tr><table") == []
+
+
+def test_table_rows_leave_in_small_batches(monkeypatch):
+    monkeypatch.setattr(tables, "BATCH_ROWS", 3)
+    pages_ = pa.RecordBatch.from_pydict({"page_id": [7, None], "source": ["<table>" + "<tr><td>a" * 6, "<table><tr><tr><td>b"]})
+    batches = list(tables.rows_of_batches(iter([pages_])))
+    assert [b.num_rows for b in batches] == [3, 2, 1]
+    assert pa.Table.from_batches(batches)["page_id"].to_pylist() == [7] * 5 + [None]
