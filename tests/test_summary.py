@@ -141,3 +141,16 @@ def test_rounds_end_where_the_matrix_says():
         assert np.allclose(summary.rank_by_rounds(made, 1e-15), summary.rank_scores(made), atol=1e-9)
     against = np.array([[1.0, 0.1], [-1.0, 0.1], [1.0, -0.1], [0.2, -1.0]])
     assert np.allclose(summary.rank_by_rounds(against, 1e-15, 3), 0.25)
+
+
+def test_vectors_come_document_by_document_and_stay_in_place(spark, monkeypatch):
+    rows = [(i % 7, i // 7, word) for i, word in enumerate(["Risk", "x", "risk of Risk.", ""] * 20)] + [(None, 0, "risk"), (3, 1, "again risk")]
+    split = spark.createDataFrame(rows, "doc_id int, pos int, sentence string")
+    words = spark.createDataFrame([("risk", [1.0, 2.0]), ("risk", [1.0, None])], "word string, embedding array<float>")
+    monkeypatch.setattr(summary, "SENTENCES", 3)
+    made = summary.sentence_vectors(split, words, 2, ["of"])
+    assert made.where("doc_id = 3 AND pos = 1").select("n_words").first()[0] == sum(2 if w == "risk" else w not in ("", "of") for d, p, s in rows if (d, p) == (3, 1) for w in s.lower().strip(".").split())
+    for operator in (lambda v, t: summary.similarity_weight(v, 2, together=t), lambda v, t: summary.sentence_rank(v, together=t)):
+        here, moved = operator(made, True), operator(made, False)
+        assert "MapInArrow over" in here._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, here.collect())) == sorted(map(str, moved.collect()))
