@@ -19,9 +19,11 @@ def export_links_by_company(
     """One folder of CSV files per company.
 
     Range partitioning keeps a small company in one file and splits a company with
-    very many links over several tasks.
+    very many links over several tasks. Their number is given, as files cost more
+    than bytes here and Spark would join partitions of few bytes.
     """
-    ranged = links.repartitionByRange("company_name", "link")
+    parts = 4 * links.sparkSession.sparkContext.defaultParallelism
+    ranged = links.repartitionByRange(parts, "company_name", "link")
     writer = ranged.withColumn("company", F.col("company_name")).write
     writer = writer.mode("overwrite").partitionBy("company")
     writer.options(**CSV, maxRecordsPerFile=rows_per_file).csv(path)

@@ -170,3 +170,10 @@ def test_table_rows_leave_in_small_batches(monkeypatch):
     batches = list(tables.rows_of_batches(iter([pages_])))
     assert [b.num_rows for b in batches] == [3, 2, 1]
     assert pa.Table.from_batches(batches)["page_id"].to_pylist() == [7] * 5 + [None]
+
+
+def test_export_of_many_small_companies_is_shared_by_tasks(spark, tmp_path):
+    df = spark.range(40).selectExpr("concat('company ', id) AS company_name", "id AS pos", "'l' AS link")
+    exports.export_links_by_company(df, str(tmp_path / "links"))
+    tasks = {path.name.split("-")[1] for path in (tmp_path / "links").glob("*/part-*")}
+    assert len(tasks) > 1 and spark.read.options(**exports.CSV).csv(str(tmp_path / "links")).count() == 40
