@@ -56,3 +56,9 @@ def test_nothing_to_learn_from(spark, documents):
 def test_a_long_text_is_split_in_linear_time(spark, documents, learned):
     long_text = spark.range(1).select(F.lit(1).alias("doc_id"), F.expr("repeat('The U.S. sales rose. ', 20000)").alias("text"))
     assert summary.split_sentences(long_text, learned).count() == 20000
+
+
+def test_counts_are_taken_from_the_texts_once(spark):
+    counts = boundaries.token_counts(spark.createDataFrame([("Acme Inc. rose.",)], "text string"))
+    assert "regexp_extract_all" not in counts._jdf.queryExecution().toString()
+    assert {tuple(r) for r in counts.collect()} == {("acme", False, None, 1), ("inc", True, None, 1), ("rose", True, "inc", 1)}
