@@ -126,7 +126,8 @@ def _status_rule(
 
     def status_of(records: DataFrame) -> DataFrame:
         kept = records.groupBy("request_id").agg(F.count("*").alias("n_records"))
-        joined = requests.join(sources, "request_id", "left").join(kept, "request_id", "left")
+        # Both sides of the small join are of requests with links; the requests meet its result only.
+        joined = requests.join(sources.join(kept, "request_id", "left"), "request_id", "left")
         status = coalesce_status(
             *refusals,
             (F.col("has_source").isNull(), none_found),
@@ -155,11 +156,13 @@ def _web_job(
     texts: tuple[str, str, str],
     keep: list,
     proc_ts: Column | None,
+    flagged: bool = False,
 ) -> JobResult:
     """The cap comes first, so at most nine narrow rows per request go on. These are
     staged, as the text, the join and the statuses all start from them. Text is
-    extracted and classified once per distinct link; pages never meet the requests."""
-    checked = flag_known(requests, companies)
+    extracted and classified once per distinct link; pages never meet the requests.
+    ``flagged`` requests have their ``is_known`` already."""
+    checked = requests if flagged else flag_known(requests, companies)
     columns = [c for c in ("request_id", "pos", "link", "content_type") if c in links.columns]
     capped = cap_links(links.select(*columns))
     found = stage(_accepted(checked, refusals).join(capped, "request_id"))
@@ -247,14 +250,15 @@ def monitor_keywords(
 ) -> JobResult:
     """Each company with all keywords of its industry; fields are not checked.
 
-    ``links`` carries the request ids of ``keyword_requests``.
+    ``links`` carries the request ids of ``keyword_requests``. The companies are looked up before
+    the fan-out, once each instead of once per keyword.
     """
-    requests = keyword_requests(companies_asked, lexicon, on_unknown)
+    requests = keyword_requests(flag_known(companies_asked, companies), lexicon, on_unknown)
     keep = ["request_id", "company_id", "company_name", F.col("search_query").alias("Keyword")]
     return _web_job(
         requests, companies, links, pages, classifier,
         [(~F.col("is_known"), F.coalesce(not_found_text(), F.lit("Company ID None not found")))],
-        (NO_SOURCE, BULK_DONE, BULK_FAILED), keep, proc_ts,
+        (NO_SOURCE, BULK_DONE, BULK_FAILED), keep, proc_ts, flagged=True,
     )
 
 

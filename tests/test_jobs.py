@@ -223,3 +223,17 @@ def test_rule_tags_with_summary(spark):
     classify = jobs.tagged(keyword_table(spark), countries, words, 2)
     replies = {r["link"]: r["reply"] for r in classify(articles).collect()}
     assert "Fraud in Chad." in replies["a"]
+
+
+def test_keyword_job_looks_companies_up_before_the_fan_out(spark, monkeypatch):
+    asked = spark.createDataFrame([("1", "A", "Metals")], "company_id string, company_name string, industry string")
+    seen = []
+
+    def spy(rows, companies):
+        seen.append(rows.columns)
+        raise KeyError
+
+    monkeypatch.setattr(jobs, "flag_known", spy)
+    with pytest.raises(KeyError):
+        jobs.monitor_keywords(asked, keyword_table(spark), asked, None, None, None)
+    assert seen == [asked.columns]
