@@ -73,23 +73,37 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", text_key()).mapInArrow(in_slices(work, "text"), schema)
 
 
-def chosen(paths: np.ndarray) -> np.ndarray:
-    """Which coordinates each node branches by: every one with the chance
-    1 / (similarity * COORDINATES), as in the chosen-path tree, at least one, so that
-    deep levels lose no more pairs than the first. Copies have left a node before it branches."""
+def _lots(paths: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        lots = mix(paths[:, None] * np.uint64(COORDINATES) + np.arange(COORDINATES, dtype=np.uint64))
+        return mix(paths[:, None] * np.uint64(COORDINATES) + np.arange(COORDINATES, dtype=np.uint64))
+
+
+def chosen(paths: np.ndarray) -> np.ndarray:
+    """Which coordinates each root branches by: every one with the chance
+    1 / (similarity * COORDINATES), as in the chosen-path tree, at least one."""
+    lots = _lots(paths)
     mark = lots < np.uint64(int(2**64 / (SIMILARITY / 100 * COORDINATES)))
     mark[np.arange(len(paths)), lots.argmin(1)] = True
     return mark
 
 
+def _stepped(paths: np.ndarray, coordinate: np.ndarray, values: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(paths ^ mix(values.astype(np.uint64) * np.uint64(COORDINATES) + coordinate.astype(np.uint64)))
+
+
 def children(paths: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and child paths of documents with these paths and signatures."""
+    """Row numbers and child paths of documents with these root paths and signatures."""
     row, coordinate = np.nonzero(chosen(paths))
-    with np.errstate(over="ignore"):
-        child = mix(paths[row] ^ mix(sigs[row, coordinate].astype(np.uint64) * np.uint64(COORDINATES) + coordinate.astype(np.uint64)))
-    return row, child
+    return row, _stepped(paths[row], coordinate, sigs[row, coordinate])
+
+
+def child(paths: np.ndarray, sigs: np.ndarray) -> np.ndarray:
+    """The one child of a large node that each document goes to, so that no level has more
+    rows than the one above. A document's 24 or so paths through the trees, not children of
+    children, make up for the pairs that a level parts."""
+    coordinate = _lots(paths).argmin(1)
+    return _stepped(paths, coordinate, sigs[np.arange(len(paths)), coordinate])
 
 
 def _matrix(batch: pa.RecordBatch, name: str, kind: str) -> np.ndarray:
@@ -97,12 +111,17 @@ def _matrix(batch: pa.RecordBatch, name: str, kind: str) -> np.ndarray:
     return np.frombuffer(data, kind).reshape(batch.num_rows, -1)
 
 
-def _branch(batches: Batches) -> Batches:
+def _descend(batches: Batches) -> Batches:
+    """The nodes of each document on the levels below its own: one row a document, whatever its node's size."""
     for batch in batches:
         if batch.num_rows:
-            node = column(batch, "node")
-            row, child = children(column(batch, "path").view(np.uint64), _matrix(batch, "sig", "<u4"))
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(node[row])], names=["path", "node"])
+            path, sigs = column(batch, "path").view(np.uint64), _matrix(batch, "sig", "<u4")
+            below = np.empty((len(path), DEPTH - 1), np.int64)
+            for level in range(DEPTH - 1):
+                path = child(path, sigs)
+                below[:, level] = path.view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(path) + 1) * (DEPTH - 1), pa.int32()), pa.array(below.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(column(batch, "node")), lists], names=["node", "below"])
 
 
 def _roots(batches: Batches) -> Batches:
@@ -129,6 +148,17 @@ def _lot() -> Column:
     return F.pmod(F.xxhash64("path", "node", F.lit(SEED)), F.lit(1 << 40)) / float(1 << 40)
 
 
+def spanning(row: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Which links from ascending rows to pivots keep all components: the first of each row,
+    and one for each two pivots that a row links, its first and another."""
+    new = np.ones(len(row), bool)
+    new[1:] = row[1:] != row[:-1]
+    first = to[np.flatnonzero(new)][np.cumsum(new) - 1]
+    _, once = np.unique(np.stack([first, to]), axis=1, return_index=True)
+    new[once] = True
+    return new
+
+
 def _beside_pivots(batches: Batches) -> Batches:
     need = np.array([LOOSE, ALIKE]) * COORDINATES
     for batch in batches:
@@ -151,8 +181,10 @@ def _beside_pivots(batches: Batches) -> Batches:
         is_pivot = np.zeros(batch.num_rows, bool)
         is_pivot[row[~other]] = True
         leaves[row[(same >= need[1]) & other & (~is_pivot[row] | (pivot_node < node[row]))]] = True
-        many = np.bincount(row[linked], minlength=batch.num_rows)
-        links = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)), pa.int32()), pa.array(pivot_node[linked]))
+        row, to = row[linked], pivot_node[linked]
+        needed = spanning(row, to)
+        many = np.bincount(row[needed], minlength=batch.num_rows)
+        links = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)), pa.int32()), pa.array(to[needed]))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array(~leaves), links], names=["path", "node", "stays", "links"])
 
 
@@ -160,7 +192,7 @@ def eased(large: DataFrame, sketches: DataFrame) -> DataFrame:
     """``path, node, stays, links`` of the documents of large nodes, beside some pivots of
     their node, about ``PIVOTS`` each.
 
-    ``links`` are pivots that look similar. A copy of a pivot is in its loose component now, and
+    ``links`` are pivots that look similar, as many as join all that do. A copy of a pivot is in its loose component now, and
     that is compared whole later; it needs no place further down this tree, where the pivot stands for it.
     """
     lots = large.where(_lot() < F.lit(PIVOTS) / F.col("members")).join(sketches, "node")
@@ -173,28 +205,30 @@ def eased(large: DataFrame, sketches: DataFrame) -> DataFrame:
 def tree_nodes(sets: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``path, node, members`` of the leaves of all trees, and edges ``src, dst`` found on the way.
 
-    A node of more than ``NODE_LIMIT`` documents first loses the copies of its pivots; what
-    stays large then branches on.
+    A node is large that would be compared in more than two parts. It first loses the copies
+    of its pivots; what stays large then branches on, level by level, until it is small or
+    ``DEPTH`` levels down.
     """
+    most = 2 * NODE_LIMIT
     level = stage(counted(sets.select("node", "sig").mapInArrow(_roots, "path bigint, node bigint")))
-    leaves = level.where(F.col("members") <= NODE_LIMIT)
+    leaves = level.where(F.col("members") <= most)
     edges = level.select(F.col("node").alias("src"), F.col("node").alias("dst")).where("false")
-    for depth in range(1, DEPTH + 1):
-        large = level.where(F.col("members") > NODE_LIMIT)
+    large = level.where(F.col("members") > most)
+    if not large.take(1):
+        return leaves, edges
+    told = eased(large, sketches)
+    edges = told.select(F.col("node").alias("src"), F.explode("links").alias("dst"))
+    level = written(counted(told.where("stays").select("path", "node")), "level")
+    leaves = leaves.union(level.where(F.col("members") <= most))
+    large = level.where(F.col("members") > most).join(sets.select("node", "sig"), "node").select("path", "node", "sig")
+    large = written(large.mapInArrow(_descend, "node bigint, below array<bigint>"), "below")
+    for depth in range(DEPTH - 1):
         if not large.take(1):
-            break
-        told = eased(large, sketches)
-        edges = edges.union(told.select(F.col("node").alias("src"), F.explode("links").alias("dst")))
-        left = stage(counted(told.where("stays").select("path", "node")))
-        leaves = leaves.union(left.where(F.col("members") <= NODE_LIMIT))
-        large = left.where(F.col("members") > NODE_LIMIT)
-        if depth == DEPTH:
-            leaves = leaves.union(large)
-            break
-        grown = large.join(sets.select("node", "sig"), "node").select("path", "node", "sig")
-        level = stage(counted(grown.mapInArrow(_branch, "path bigint, node bigint")))
-        leaves = leaves.union(level.where(F.col("members") <= NODE_LIMIT))
-    return leaves, edges
+            return leaves, edges
+        level = written(counted(large.select(F.col("below")[depth].alias("path"), "node", "below")), "level")
+        leaves = leaves.union(level.where(F.col("members") <= most).select("path", "node", "members"))
+        large = level.where(F.col("members") > most)
+    return leaves.union(large.select("path", "node", "members")), edges
 
 
 def groups(leaves: DataFrame) -> DataFrame:

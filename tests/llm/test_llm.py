@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from checks.compare import rows_of
-from newsward.llm import block_labels, collocations, cover_tree, embed_dup, extraction, html_blocks, lattice, manifest, mixing, near_dup, packing, quality, queries, quotient, scoring, substrings, toxicity, urls
+from newsward.llm import block_labels, collocations, common, cover_tree, embed_dup, extraction, html_blocks, lattice, manifest, mixing, near_dup, packing, quality, queries, quotient, scoring, substrings, toxicity, urls
 from newsward.llm.common import components, running_total
 from newsward.llm.words import LOWER, words
 
@@ -335,6 +335,48 @@ def test_large_leaf_of_texts_that_share_boilerplate(spark):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(label))
 
 
+def test_components_joined_by_many_tasks(spark, monkeypatch):
+    """A task holds few edges: trees of several tasks are joined by the rounds that follow."""
+    monkeypatch.setattr(common, "EDGES_PER_TASK", 50)
+    rng = np.random.default_rng(6)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-400, 400, (400, 2))] + [(k + 1000, k + 1001) for k in range(150)]
+    label = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in range(200):
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    df = spark.createDataFrame(edges, "src long, dst long").repartition(12)
+    assert sorted((r.node, r.root) for r in common.components(df).collect()) == sorted(label.items())
+    nodes, roots = common.least_of(*np.array([e for e in edges if e[0] != e[1]]).T)
+    assert dict(zip(nodes.tolist(), roots.tolist())) == label
+
+
+def test_large_nodes_make_no_more_rows_on_lower_levels(spark, monkeypatch):
+    """Sets that share many coordinates: each document has one place a level below a root's children."""
+    monkeypatch.setattr(near_dup, "NODE_LIMIT", 8)
+    rng = np.random.default_rng(12)
+    sigs = np.tile(rng.integers(0, 1 << 32, near_dup.COORDINATES, dtype=np.uint64).astype("<u4"), (400, 1))
+    own = rng.random(sigs.shape) < 0.3
+    sigs[own] = rng.integers(0, 1 << 32, own.sum(), dtype=np.uint64)
+    sets = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sigs)], "node long, sig binary")
+    sketches = sets.select("node", F.arrow_udf(near_dup._sketches, "binary")("sig").alias("sketch"))
+    leaves, _ = near_dup.tree_nodes(sets, sketches)
+    roots = near_dup.counted(sets.mapInArrow(near_dup._roots, "path bigint, node bigint")).count()
+    assert 0 < leaves.count() <= roots
+
+
+def test_links_to_pivots_grow_with_rows_only():
+    rng = np.random.default_rng(3)
+    linked = rng.random((3000, 8)) < np.array([0.9, 0.9, 0.8, 0.7, 0.7, 0.02, 0.02, 0])
+    row, pivot = np.nonzero(linked)
+    keep = near_dup.spanning(row, pivot - 8)
+    assert keep.sum() <= 3000 + 64 < len(row)
+    for a, b in ((row, pivot - 8), (row[:40], pivot[:40] - 8)):
+        kept = near_dup.spanning(a, b)
+        whole, fewer = common.least_of(a, b), common.least_of(a[kept], b[kept])
+        assert all((x == y).all() for x, y in zip(whole, fewer))
+
+
 def test_vector_recall_against_brute_force(spark):
     rng = np.random.default_rng(4)
     centers = rng.standard_normal((300, 32))
