@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsward.llm.common import Batches, column, running_total, written
+from newsward.llm.common import Batches, column, give_back, running_total, written
 from newsward.llm.words import LOWER, flat, slices, words
 
 LENGTH = 1024
@@ -22,13 +24,19 @@ SCHEMA = (
 )
 
 
-# Distinct segments whose ids a task remembers; then it starts anew.
+# Distinct segments whose ids a worker remembers; then it keeps those it met again.
 REMEMBERED = 1 << 18
+# Bytes of text worked on at a time, and segments that the tokenizer gets as one text.
+SLICE_BYTES = 2 << 20
+JOINED = 256
+# Segments of visible ASCII, after a blank at most. "<" begins the special token, so those with one go alone.
+PLAIN = r"^ ?[!-;=-~]+$"
 
 
 class Segments:
     """Ids of text segments by the byte-level BPE of 50,257 ids, as its file has it, special
-    tokens included. Segments met before are not encoded again."""
+    tokens included. Segments met before are not encoded again. They are held as Arrow
+    strings and one array of ids, which takes a small part of what Python's strings and lists do."""
 
     def __init__(self):
         # A task has one core; threads of the tokenizer would only take others'.
@@ -37,26 +45,88 @@ class Segments:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-        self.known: dict[str, list[int]] = {}
-
-    def ids(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end, and how many each segment has."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = [s for s in segments if s not in self.known]
-        for segment, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[segment] = found.ids
-        own = [self.known[s] for s in segments]
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        return np.fromiter(itertools.chain.from_iterable(own), "<u2", int(sizes.sum())), sizes
+        self.line_end = self._ids(["\n"])[0][0]
+        self.known = pa.array([], pa.large_string())
+        self.pool, self.sizes, self.uses = np.zeros(0, "<u2"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encoded(self, segments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``ids``, by the tokenizer.
+
+        Plain segments go to it as lines of one text: its pattern takes a line end after a
+        visible character and before a visible one or a single blank by itself, so the ids of
+        the lines are those of the segments, and the id of the line end, which no plain
+        segment has, parts them.
+        """
+        plain = pc.match_substring_regex(segments, PLAIN).to_numpy(zero_copy_only=False).astype(bool)
+        sizes = np.zeros(len(segments), np.int64)
+        parts: list[np.ndarray] = []
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        texts = segments.take(pa.array(order)).to_pylist()
+        many = int(plain.sum())
+        for low in range(0, many, 64 * JOINED):
+            lines = texts[low : min(low + 64 * JOINED, many)]
+            joined = ["\n".join(lines[k : k + JOINED]) + "\n" for k in range(0, len(lines), JOINED)]
+            ids = np.fromiter(itertools.chain.from_iterable(self._ids(joined)), "<u2")
+            ends = np.flatnonzero(ids == self.line_end)
+            sizes[low : low + len(lines)] = np.diff(ends, prepend=-1) - 1
+            parts.append(np.delete(ids, ends))
+        for low in range(many, len(texts), JOINED):
+            found = self._ids(texts[low : low + JOINED])
+            sizes[low : low + len(found)] = [*map(len, found)]
+            parts.append(np.fromiter(itertools.chain.from_iterable(found), "<u2"))
+        pool, starts = np.concatenate([np.zeros(0, "<u2"), *parts]), np.cumsum(sizes) - sizes
+        back = np.argsort(order)
+        return pool[spans(starts[back], sizes[back])], sizes[back]
+
+    def ids(self, segments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the segments end to end, and how many each one has."""
+        if len(self.known) > REMEMBERED or len(self.pool) > 8 * REMEMBERED:
+            again = (self.uses > 1) & (self.sizes <= 64)
+            if again.sum() > REMEMBERED // 2:
+                again[:] = False
+            starts = np.cumsum(self.sizes) - self.sizes
+            self.pool = self.pool[spans(starts[again], self.sizes[again])]
+            self.known, self.sizes, self.uses = self.known.filter(pa.array(again)), self.sizes[again], np.ones(again.sum(), np.int64)
+        # Known segments come first, so that their numbers stay.
+        coded = pa.concat_arrays([self.known, segments]).dictionary_encode()
+        which = coded.indices.to_numpy()[len(self.known) :]
+        if len(coded.dictionary) > len(self.known):
+            pool, sizes = self.encoded(coded.dictionary.slice(len(self.known)))
+            self.pool, self.sizes = np.concatenate([self.pool, pool]), np.concatenate([self.sizes, sizes])
+            self.known = coded.dictionary
+        met = np.zeros(len(self.known), np.int64)
+        met[which] = 1
+        self.uses = met + np.pad(self.uses, (0, len(met) - len(self.uses)))
+        starts = np.cumsum(self.sizes) - self.sizes
+        return self.pool[spans(starts[which], self.sizes[which])], self.sizes[which]
+
+
+@functools.cache
+def remembered() -> Segments:
+    """The segments of this worker, which serves many tasks: the file is read once."""
+    return Segments()
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all spans, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+MARKS = np.zeros(256, bool)
+MARKS[[*b".,;:!?\n"]] = True
 
 
 def segment_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Bytes where a text can be cut without changing its ids: row starts, and each single
-    blank between characters that are surely no white space.
+    """Bytes where a text can be cut without changing its ids: row starts, each single
+    blank between characters that are surely no white space, and marks after ASCII letters.
 
-    The vocabulary's pattern never joins a character to a blank after it, and its special
-    token holds no blank. Characters of two bytes from 0xC3 on are no white space; next to
+    The vocabulary's pattern never joins a character to a blank after it, nor a letter to one of
+    ``MARKS``, and its special token holds neither. Characters of two bytes from 0xC3 on are no white space; next to
     others beyond ASCII no cut is made, which only makes a segment longer.
     """
     visible = np.zeros(256, bool)
@@ -69,6 +139,7 @@ def segment_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     begins = plain | two[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[1 : len(data) - 1] = (data[1:-1] == 0x20) & ends[:-2] & begins[2:]
+    cut[1:-1] |= MARKS[data[1:]] & LETTERS[data[:-1]]
     cut[offsets] = True
     return np.flatnonzero(cut)
 
@@ -84,13 +155,9 @@ def encoded(texts: pa.Array, known: Segments) -> tuple[np.ndarray, np.ndarray]:
     starts = segment_starts(data, offsets)
     places = np.append(starts[starts < len(data)], len(data)).astype(np.int64)
     segments = pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(data)))
-    coded = segments.dictionary_encode()
-    pool, sizes = known.ids(coded.dictionary.to_pylist())
-    which = coded.indices.to_numpy()
-    first, many = np.cumsum(sizes) - sizes, sizes[which]
-    at = np.repeat(first[which] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    ids, many = known.ids(segments)
     before = np.append(0, np.cumsum(many))
-    return pool[at], before[np.searchsorted(places[:-1], offsets)]
+    return ids, before[np.searchsorted(places[:-1], offsets)]
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -150,17 +217,19 @@ def encode(docs: DataFrame) -> DataFrame:
     schema = "doc_id bigint, curve_key bigint, doc_tokens bigint, ids binary"
 
     def run(batches: Batches) -> Batches:
-        known = Segments()
+        known = remembered()
         names = ["doc_id", "curve_key", "doc_tokens", "ids"]
         for batch in batches:
             texts = batch.column(1)
-            for low, high in slices(texts, 1 << 22):
+            for low, high in slices(texts, SLICE_BYTES):
                 part = texts.slice(low, high - low)
                 found, edges = encoded(part, known)
                 ids = [found[a:b].tobytes() + b"\0\0" for a, b in zip(edges[:-1], edges[1:])]
                 sizes = np.array([len(x) // 2 for x in ids], np.int64)
                 arrays = [batch.column(0).slice(low, high - low), pa.array(curve_keys(part)), pa.array(sizes), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+            del batch, texts, part, found, ids, arrays
+            give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema).withColumn("row_id", F.monotonically_increasing_id())
 

@@ -243,6 +243,22 @@ def test_ids_are_those_of_the_named_file(monkeypatch):
     assert ids.tolist()[-2:] == [87, 50256]
 
 
+def test_remembered_segments_stay_small(monkeypatch):
+    """Marks are cut from words, segments are held in Arrow, and those met once or long ones are given up."""
+    data, offsets = packing.flat(pa.array(["one, two.\nThree: it's; x", "don't"]))
+    assert packing.segment_starts(data, offsets).tolist()[:6] == [0, 3, 4, 8, 15, 16]
+    monkeypatch.setattr(packing, "REMEMBERED", 500)
+    known = packing.Segments()
+    for k in range(6):
+        texts = ["the same words come again", " ".join("n%dx%d" % (k, x) for x in range(400)), "y" * 5000 + "%d" % k]
+        ids, edges = packing.encoded(pa.array(texts), known)
+        want = known.tokenizer.encode_batch(texts, add_special_tokens=False)
+        assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:])] == [x.ids for x in want]
+    assert len(known.known) <= 1000 and known.known.nbytes < 50_000
+    assert " same" in known.known.to_pylist()
+    assert packing.remembered() is packing.remembered()
+
+
 def test_packing_round_trip_on_given_documents(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
