@@ -475,6 +475,20 @@ def test_pipeline_stages(spark, hard):
     assert corpus_pipeline.run(spark, hard).count() > 0
 
 
+def test_pipeline_stages_bound_the_batches_of_their_callers_job(spark):
+    """300 texts of 100 KB are written in batches of 8 MB at most, not in one of 30 MB."""
+    docs = spark.range(300, numPartitions=1).selectExpr("id doc_id", "repeat('ab cd efg ', 10000) text")
+    before = spark.conf.get(common.BATCH_SETTING)
+    for name, stage in corpus_pipeline.STAGES[-1:]:
+        try:
+            spark.conf.unset(common.BATCH_SETTING)
+            stage(spark, docs.limit(2), "")
+            sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()
+            assert max(r.n for r in sizes) <= 9 << 20 and len(sizes) >= 3
+        finally:
+            spark.conf.set(common.BATCH_SETTING, before)
+
+
 def test_pipeline_drops_toxic_and_near_copies(spark):
     folder = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
