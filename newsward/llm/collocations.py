@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsward.llm import quotient
-from newsward.llm.common import FILTER_BITS, Batches, column, in_slices, runs, running_total, written
+from newsward.llm.common import FILTER_BITS, Batches, column, give_back, in_slices, runs, running_total, written
 from newsward.llm.words import IS_SPACE, LOWER, flat, mix
 
 LEAST = 30
@@ -27,6 +27,8 @@ NO_LANG = "und"
 # N-grams that a task counts before it sends their filters on, and that a shard holds at most about.
 BUFFER = 1 << 21
 SHARD = 1 << 21
+# Numbers of words that a task packs by block at a time: 16 MB.
+PACKED = 1 << 20
 # Lower case, and marks that end a piece as line ends.
 PIECES = LOWER.copy()
 PIECES[[ord(c) for c in ".,;:!?"]] = 0x0A
@@ -98,22 +100,52 @@ def numbered_texts(blocks: DataFrame, words: DataFrame) -> DataFrame:
     """``ids`` of each block: its text as word ids of 32 bits, 0 for breaks and rare words.
 
     Each block asks for its distinct words only, and they meet the vocabulary in a join, so
-    neither has to fit a task.
+    neither has to fit a task. Numbers leave a task of the join packed by block, and a block's codes
+    and numbers meet by a sort, which Spark can do on disk; no list of rows is held in its memory.
     """
     asked = blocks.select("block", F.posexplode(F.arrays_zip("langs", "words")).alias("place", "x")).select("block", "place", F.col("x.langs").alias("lang"), F.col("x.words").alias("word"))
-    known = asked.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("known"))
-    pairs = blocks.select("block", "codes").join(known.select("block", F.col("known.place").alias("places"), F.col("known.id").alias("word_ids")), "block")
+    known = asked.join(words.select("lang", "word", "id"), ["lang", "word"])
+    # The place in the high half, the id in the low one.
+    slot = F.shiftleft(F.col("place").cast("bigint"), 32).bitwiseOR(F.col("id"))
+
+    def by_block(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        own, slots = (np.concatenate(arrays) for arrays in zip(*parts))
+        order = np.argsort(own, kind="stable")
+        own, slots = own[order], slots[order]
+        edges = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]])
+        packed = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((8 * edges).astype(np.int32)), pa.py_buffer(slots)])
+        return pa.RecordBatch.from_arrays([pa.array(own[edges[:-1]]), packed], names=["block", "packed"])
+
+    def pack(batches: Batches) -> Batches:
+        parts, held = [], 0
+        for batch in batches:
+            parts.append((column(batch, "block").copy(), column(batch, "slot").copy()))
+            held += batch.num_rows
+            if held >= PACKED:
+                yield by_block(parts)
+                parts, held = [], 0
+        if held:
+            yield by_block(parts)
 
     def translate(batches: Batches) -> Batches:
+        codes, table = None, None
         for batch in batches:
-            for k in range(batch.num_rows):
-                codes = np.frombuffer(batch.column(0)[k].as_buffer(), np.int32)
-                places = batch.column(1)[k].values.to_numpy(zero_copy_only=False)
-                table = np.zeros(int(codes.max(initial=0)) + 1, np.uint32)
-                table[places + 1] = batch.column(2)[k].values.to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array([table[codes].tobytes()], pa.binary())], names=["ids"])
-
-    return pairs.select("codes", "places", "word_ids").mapInArrow(translate, "ids binary")
+            for place, raw in zip(batch.column(1).to_pylist(), batch.column(2)):
+                if place == 0:
+                    if codes is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([table[codes].tobytes()], pa.binary())], names=["ids"])
+                    codes = np.frombuffer(raw.as_py(), np.int32)
+                    table = np.zeros(int(codes.max(initial=0)) + 1, np.uint32)
+                else:
+                    slots = np.frombuffer(raw.as_buffer(), np.int64)
+                    table[(slots >> 32) + 1] = slots & 0xFFFFFFFF
+        if codes is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([table[codes].tobytes()], pa.binary())], names=["ids"])
+        give_back()
+
+    numbers = known.select("block", slot.alias("slot")).mapInArrow(pack, "block bigint, packed binary")
+    rows = blocks.select("block", F.lit(0).alias("part"), F.col("codes").alias("packed")).union(numbers.select("block", F.lit(1), "packed"))
+    return rows.repartition("block").sortWithinPartitions("block", "part").mapInArrow(translate, "ids binary")
 
 
 def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -163,7 +195,7 @@ def partial_filters(texts: DataFrame, n: int, width: int, shard_bits: int, passe
         return quotient.permuted(*quotient.packed([ids[at + k] for k in range(n)], width), n, width)
 
     def sent(parts) -> Batches:
-        left, right, counts = quotient.merged(parts, n, width)
+        left, right, counts = quotient.merged(parts, n, width)  # which empties the list
         shards = quotient.shard_of(left, n, width, shard_bits)
         edges = np.concatenate([[0], np.flatnonzero(shards[1:] != shards[:-1]) + 1, [len(shards)]]) if len(shards) else [0]
         for low, high in zip(edges[:-1], edges[1:]):
@@ -180,8 +212,11 @@ def partial_filters(texts: DataFrame, n: int, width: int, shard_bits: int, passe
                 if held >= BUFFER:
                     yield from sent(parts)
                     parts, held = [], 0
+                    give_back()
         if held:
             yield from sent(parts)
+        del parts
+        give_back()
 
     return texts.select("ids").mapInArrow(run, "shard bigint, filter binary")
 
@@ -208,6 +243,7 @@ def frequent_grams(filters: DataFrame, n: int, width: int, shard_bits: int, leas
                 ids = quotient.unpacked(*quotient.restored(left, right, n, width), n, width)
                 arrow = pa.ListArray.from_arrays(pa.array(np.arange(0, ids.size + 1, n), pa.int32()), pa.array(ids.ravel(), pa.int64()))
                 yield pa.RecordBatch.from_arrays([arrow, pa.array(counts), pa.array(_key(left, right).view(np.int64))], names=["ids", "f", "key"])
+            give_back()
 
     dealt = filters.repartition("shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(run, "ids array<bigint>, f bigint, key bigint")

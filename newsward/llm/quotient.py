@@ -74,25 +74,42 @@ def restored(left: np.ndarray, right: np.ndarray, n: int, width: int) -> tuple[n
     return left, right
 
 
-def counted(left: np.ndarray, right: np.ndarray, counts: np.ndarray, n: int, width: int) -> Entries:
-    """Sorted entries with the counts of equal ones summed."""
+def _summed(arrays: list[np.ndarray], n: int, width: int) -> Entries:
+    """Sorted entries with the counts of equal ones summed. ``arrays`` holds the lefts, rights and
+    counts and is emptied on the way, so that no array stays beside its sorted copy."""
+    counts, right, left = arrays.pop(), arrays.pop(), arrays.pop()
     if len(left) == 0:
         return left, right, counts
     bits = half_bits(n, width)
     if sum(bits) <= 64:
-        whole = (left << np.uint64(bits[1])) | right if bits[1] < 64 else right
+        whole = (left << np.uint64(bits[1])) | right
+        del left, right
         order = np.argsort(whole, kind="stable")
         whole = whole[order]
-        new = np.concatenate([[True], whole[1:] != whole[:-1]])
-    else:
-        order = np.lexsort((right, left))
-        new = np.concatenate([[True], (left[order][1:] != left[order][:-1]) | (right[order][1:] != right[order][:-1])])
-    first = np.flatnonzero(new)
-    return left[order][first], right[order][first], np.add.reduceat(counts[order], first)
+        counts = counts[order]
+        del order
+        first = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))
+        whole = whole[first]
+        return whole >> np.uint64(bits[1]), whole & _mask(bits[1]), np.add.reduceat(counts, first)
+    order = np.lexsort((right, left))
+    left = left[order]
+    right = right[order]
+    counts = counts[order]
+    del order
+    first = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
+    return left[first], right[first], np.add.reduceat(counts, first)
+
+
+def counted(left: np.ndarray, right: np.ndarray, counts: np.ndarray, n: int, width: int) -> Entries:
+    """Sorted entries with the counts of equal ones summed."""
+    return _summed([left, right, counts], n, width)
 
 
 def merged(parts: list[Entries], n: int, width: int) -> Entries:
-    return counted(*(np.concatenate([part[k] for part in parts]) for k in range(3)), n, width)
+    """One filter of several. The list is emptied: parts and result need not fit together."""
+    arrays = [np.concatenate([part[k] for part in parts]) for k in range(3)]
+    parts.clear()
+    return _summed(arrays, n, width)
 
 
 def _to_bytes(numbers: np.ndarray, size: int) -> bytes:

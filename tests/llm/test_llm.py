@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -565,6 +566,39 @@ def test_collocations_beside_counting_by_hand(spark, monkeypatch):
         assert got == phrases_by_hand(rows, least, 4, 80, top) and len(got) >= 20
 
 
+@pytest.mark.parametrize("n, width", [(2, 20), (4, 20)])
+def test_merging_filters_keeps_no_copies(n, width):
+    rng = np.random.default_rng(2)
+    size = 200_000
+    bits = quotient.half_bits(n, width)
+    parts = [quotient.counted(*(rng.integers(0, 1 << b, size).astype(np.uint64) for b in bits), np.ones(size, np.int64), n, width) for _ in range(4)]
+    own = sum(a.nbytes for part in parts for a in part)
+    # The parts belong to the filters that are merged, so they count as well.
+    tracemalloc.start()
+    parts = [tuple(a.copy() for a in part) for part in parts]
+    merged = quotient.merged(parts, n, width)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert parts == [] and merged[2].sum() == 4 * size
+    assert peak < 2.5 * own
+
+
+def test_texts_are_numbered_without_lists_of_a_blocks_words(spark):
+    rows = [("en", " ".join(f"w{k % 40} rare{j}{k}." for k in range(200))) for j in range(6)] + [("de", "w1 nur hier"), ("de", "")]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    blocks = collocations.tokens(docs).withColumn("block", F.monotonically_increasing_id()).localCheckpoint()
+    words = collocations.vocabulary(blocks, 5)
+    known = {(r.lang, r.word): r.id for r in words.collect()}
+    made = collocations.numbered_texts(blocks, words)
+    assert "collect_list" not in made._jdf.queryExecution().executedPlan().toString()
+    got = collections.Counter(tuple(np.frombuffer(r.ids, np.uint32).tolist()) for r in made.collect())
+    want = collections.Counter()
+    for r in blocks.collect():
+        table = [0, *(known.get(x, 0) for x in zip(r.langs, r.words))]
+        want[tuple(table[c] for c in np.frombuffer(r.codes, np.int32))] += 1
+    assert got == want and sum(want.values()) >= 2 and any(any(x) for x in want)
+
+
 def merkle_by_hand(rows):
     """Leaves, subroots, root and proofs, level by level."""
     def h(*parts):
