@@ -154,3 +154,50 @@ def test_vectors_come_document_by_document_and_stay_in_place(spark, monkeypatch)
         here, moved = operator(made, True), operator(made, False)
         assert "MapInArrow over" in here._jdf.queryExecution().executedPlan().toString()
         assert sorted(map(str, here.collect())) == sorted(map(str, moved.collect()))
+
+
+def test_sentences_are_shuffled_once(spark):
+    docs = documents(spark).selectExpr("doc_id", "text", "1 AS other")
+    split = summary.split_sentences(summary.by_document(docs))
+    for made, most in ((summary.sentence_rank(summary.sentence_vectors(split, vectors(spark), DIM), together=True), 1), (summary.summarize(docs, vectors(spark), DIM), 2)):
+        plan = made._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        moved = [part for part in plan.split("\n\n") if "Exchange" in part.split("\n")[0] and ("text#" in part or "sentence#" in part)]
+        assert 1 <= len(moved) <= most, moved
+
+
+@pytest.mark.parametrize("piece, chars", [(1, 1), (2, 40), (3, 1 << 27)])
+def test_vectors_by_pieces_and_many_lots(spark, monkeypatch, piece, chars):
+    rows = [(i % 50, i // 100, f"risk {['sun', 'rain', 'x'][i % 3]} of") for i in range(400)] + [(None, None, "risk"), (None, 0, "rain"), (4, 9, None)]
+    split = spark.createDataFrame(rows, "doc_id int, pos int, sentence string")
+    known = {"risk": [1.0, 2.0], "sun": [0.5, 0.25], "rain": [3.0, -1.0]}
+    words = spark.createDataFrame(list(known.items()), "word string, embedding array<float>")
+    monkeypatch.setattr(summary, "PIECE", piece)
+    monkeypatch.setattr(summary, "LOT_CHARS", chars)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = {(r.doc_id, r.pos): (r.n_words, r.vector) for r in summary.sentence_vectors(split, words, 2, ["", "of"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for doc, pos, sentence in rows:
+        if sentence is not None:
+            n, total = want.get((doc, pos), (0, np.zeros(2)))
+            own = [w for w in sentence.split() if w != "of"]
+            want[doc, pos] = n + len(own), total + sum((np.array(known.get(w, [0.0, 0.0])) for w in own), np.zeros(2))
+    assert got.keys() == want.keys()
+    for key, (n, total) in want.items():
+        assert got[key][0] == n and np.allclose(got[key][1], total / (n + 0.001))
+
+
+def test_summaries_of_ties_and_repeated_ids(spark):
+    """Equal texts tie, and their order is that of the sentences' bytes; documents that share an id are one."""
+    texts = [(1, " ".join(f"Sun {c}." for c in "bdacfegéz")), (2, "Sun rain. Rain cats! Dogs."), (2, "Sun sun. Cats."), (3, ""), (None, "Sun.")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    split = summary.split_sentences(docs)
+    scores = summary.sentence_rank(summary.sentence_vectors(split, vectors(spark), DIM), together=True)
+    for k in (1, 3, 20):
+        want = {r.doc_id: r.summary for r in summary.summaries(split, scores, k).collect()}
+        assert {r.doc_id: r.summary for r in summary.summarize(docs, vectors(spark), DIM, k).collect()} == want
+    assert set(want) == {1, 2} and want[2].count(".") == 4
+    best = summary.sentence_rank(summary.sentence_vectors(split, vectors(spark), DIM, sentences=True), together=True, best=3)
+    assert max(r["count"] for r in best.groupBy("doc_id").count().collect()) == 3
