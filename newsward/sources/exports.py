@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CSV = {"header": True, "quoteAll": True, "escape": '"'}
@@ -27,3 +27,12 @@ def export_links_by_company(
     writer = ranged.withColumn("company", F.col("company_name")).write
     writer = writer.mode("overwrite").partitionBy("company")
     writer.options(**CSV, maxRecordsPerFile=rows_per_file).csv(path)
+
+
+def read_links_by_company(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """The rows of ``export_links_by_company``, whose ``columns`` are all strings, and their folder's ``company``.
+
+    With the schema given, the folders are listed once; to find it out, Spark would list every
+    file a second time and read some."""
+    schema = ", ".join(f"{name.strip()} string" for name in [*columns.split(","), "company"])
+    return spark.read.schema(schema).options(**CSV).csv(path)

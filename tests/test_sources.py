@@ -177,3 +177,17 @@ def test_export_of_many_small_companies_is_shared_by_tasks(spark, tmp_path):
     exports.export_links_by_company(df, str(tmp_path / "links"))
     tasks = {path.name.split("-")[1] for path in (tmp_path / "links").glob("*/part-*")}
     assert len(tasks) > 1 and spark.read.options(**exports.CSV).csv(str(tmp_path / "links")).count() == 40
+
+
+def test_exported_links_are_listed_once(spark, tmp_path):
+    rows = [(f"Company {k % 40}/x", k, f"l,{k}") for k in range(80)] + [(None, 80, None)]
+    df = spark.createDataFrame(rows, "company_name string, pos bigint, link string")
+    exports.export_links_by_company(df, str(tmp_path / "links"))
+    spark.sparkContext.setJobGroup("listing", "")
+    back = exports.read_links_by_company(spark, str(tmp_path / "links"), "company_name, pos, link")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("listing")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 1
+    plain = spark.read.options(**exports.CSV).csv(str(tmp_path / "links")).select(back.columns)
+    assert back.schema == plain.schema and sorted(map(str, back.collect())) == sorted(map(str, plain.collect()))
+    assert {(r.company, r.pos) for r in back.collect()} == {(name, str(pos)) for name, pos, _ in rows}
